@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _LOCAL_SCRATCH = "/tmp/checkpoints/graphloom"
 
@@ -84,3 +85,34 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("label", F.col("node"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
+
+
+def map_texts(docs: DataFrame, make, fields: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Per row of `docs`: its `keep` columns and what make()(text) returns, as columns `fields` (DDL).
+
+    make() runs once in each task and returns the function of one whole text (null: None).
+    Rows travel in Arrow batches; nothing is shuffled.
+    """
+    rows = docs.select(*keep, F.col(text).alias("__text"))
+    added = StructType.fromDDL(fields)
+    schema = StructType([*docs.select(*keep).schema, *added])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        f = make()
+        types = [to_arrow_type(x.dataType) for x in added]
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                found = [f(x.as_py()) for x in part.column(len(keep))]
+                made = [pa.array([r[i] for r in found], t) for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def join_spans(spans, order: tuple[str, ...]) -> str:
+    """kind:start:end of (kind, start, end), by start, then kind as in `order`, comma-joined."""
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], order.index(x[0]), x[2])))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from graphloom.llm.decontaminate import op10_decontaminate
+from graphloom.llm.licenses import op9_licenses
+from graphloom.llm.secrets import op5_secrets
 from graphloom.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_secrets": op5_secrets,
+    "op9_licenses": op9_licenses,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
