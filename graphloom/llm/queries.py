@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from graphloom.llm.decontaminate import op10_decontaminate
 from graphloom.llm.licenses import op9_licenses
+from graphloom.llm.packing import op6_packing
 from graphloom.llm.secrets import op5_secrets
 from graphloom.llm.simhash import op1_simhash
+from graphloom.llm.tokens import op7_token_counts
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op5_secrets": op5_secrets,
+    "op6_packing": op6_packing,
+    "op7_token_counts": op7_token_counts,
     "op9_licenses": op9_licenses,
     "op10_decontaminate": op10_decontaminate,
 }
