@@ -8,9 +8,11 @@ from graphloom.llm.packing import op6_packing
 from graphloom.llm.secrets import op5_secrets
 from graphloom.llm.simhash import op1_simhash
 from graphloom.llm.tokens import op7_token_counts
+from graphloom.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_toxicity": op3_toxicity,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
