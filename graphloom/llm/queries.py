@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm.decontaminate import op10_decontaminate
+from graphloom.llm.language_model import op8_language_model
 from graphloom.llm.licenses import op9_licenses
 from graphloom.llm.packing import op6_packing
 from graphloom.llm.secrets import op5_secrets
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_language_model": op8_language_model,
     "op9_licenses": op9_licenses,
     "op10_decontaminate": op10_decontaminate,
 }
