@@ -70,8 +70,8 @@ def word_fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > count, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
-    """All columns of `docs` but its text, and fp (the 64 bits as a signed long). Null text: as empty."""
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, name: str = "fp") -> DataFrame:
+    """All columns of `docs` but its text, and `name` (the 64 bits as a signed long). Null text: as empty."""
     kept = [c for c in docs.columns if c != text]
 
     def run(batches) -> Iterator:
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), pa.array(fps)], [*(b.schema.names[i] for i in rest), "__fp"])
 
     schema = docs.select(*kept).schema.add("__fp", "long")
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema).withColumnRenamed("__fp", "fp")
+    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema).withColumnRenamed("__fp", name)
 
 
 def _replicas(threshold: int, blocks: int, split: dict[int, int]):
@@ -234,9 +234,10 @@ def keep_one(docs: DataFrame, threshold: int = 3, shingle: int = 3) -> DataFrame
         return once
     again = docs.join(many.distinct(), docs["doc_id"].eqNullSafe(F.col("__many")), "left_semi")
     cols = again.columns
-    marked = fingerprints(again.withColumns({"__copy": F.col("text")}), text="__copy", shingle=shingle)
-    labels = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("fp", F.col("label").alias("__label")).distinct()
-    return once.unionByName(marked.join(labels, "fp").dropDuplicates(["__label"]).select(cols))
+    marked = fingerprints(again.withColumns({"__copy": F.col("text")}), "__copy", shingle, "__print")
+    labels = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__print"), F.col("label").alias("__label")).distinct()
+    same = marked["doc_id"].eqNullSafe(labels["__id"]) & (marked["__print"] == labels["__print"])
+    return once.unionByName(marked.join(labels, same).dropDuplicates(["__label"]).select(cols))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
