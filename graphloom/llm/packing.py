@@ -3,9 +3,9 @@
 Documents become pieces of at most `capacity` tokens. Pieces are dealt to groups of bounded
 size by a hash of their row; in each group best-fit decreasing (BFD) fills bins, and a lower
 bound from dual-feasible functions says how few bins could do. A group that meets its bound is
-certified and done. The others keep their full bins and give the documents of all other bins
-away: these are dealt anew, to fewer groups, and packed again, as long as the count of bins
-above the bounds falls. The last round's bins are kept as they are.
+certified and keeps its bins but for the emptiest one, which other groups may fill. A group
+with a gap keeps only its full bins. The documents of all other bins are exchanged: dealt anew
+to fewer groups and packed again, until one group holds the rest or the rounds end.
 """
 
 from __future__ import annotations
@@ -111,7 +111,9 @@ def _pack_group(capacity: int, round_: int, last: bool):
         size = np.array(sizes, np.int64)
         fill = np.bincount(bin_of, size).astype(np.int64)
         certified = len(fill) == lower_bound(sizes, capacity)
-        stays = np.full(len(fill), True) if certified or last else fill == capacity
+        stays = np.full(len(fill), True) if last else (fill == capacity) | certified
+        if certified and not last and fill.min() < capacity:
+            stays[fill.argmin()] = False
         ids = (round_ << 56) + (key[0].as_py() << 24) + bin_of
         return pa.table({
             **{c: table.column(c) for c in ("row", "length")},
@@ -130,24 +132,16 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     """
     kept = [c for c in found.columns if c not in ("row", "sequence_id", "offset")]
     rows = materialize(found.select(*kept, F.monotonically_increasing_id().alias("row")), "pieces")
-    left, done, gap = rows.select("row", "length"), [], None
+    left, done = rows.select("row", "length"), []
     for round_ in range(rounds):
         n = left.count()
         if not n:
             break
         groups = -(-n // (group << round_))
-        last = round_ == rounds - 1 or (groups == 1 and round_ > 0)
+        last = groups == 1 or round_ == rounds - 1
         dealt = left.select("row", "length", F.pmod(F.xxhash64(F.lit(round_), "row"), F.lit(groups)).alias("g"))
         schema = "row long, length long, sequence_id long, offset long, gap long"
         packed = materialize(dealt.groupBy("g").applyInArrow(_pack_group(capacity, round_, last), schema), "packed")
-        now = packed.agg(F.sum("gap")).first()[0]
-        if last or not now:
-            done.append(packed)
-            break
-        if gap is not None and now >= gap:  # no better than the round before
-            done.append(materialize(dealt.groupBy("g").applyInArrow(_pack_group(capacity, round_, True), schema), "packed"))
-            break
-        gap = now
         done.append(packed.where("sequence_id >= 0"))
         left = packed.where("sequence_id < 0").select("row", "length")
     if not done:
