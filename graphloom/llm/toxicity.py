@@ -90,7 +90,8 @@ def train(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0)
     for ws, y in zip(words, labels):
         if not y:
             neg.update({f for w in set(ws) for f in features_of(w)} & pos.keys())
-    g = {f: x for f, c in pos.items() if (x := _g_test(c, neg[f], n_pos, n_neg)) > 4}
+    # few features are telling, so most tokens of a text are neutral and cost nothing
+    g = {f: x for f, c in pos.items() if c * (n_neg + 1) > 4 * (neg[f] + 0.5) * n_pos and (x := _g_test(c, neg[f], n_pos, n_neg)) > 15}
     kept = sorted(g, key=lambda f: (-g[f], f))[:FEATURES]
     index = {f: i for i, f in enumerate(kept)}
     seeds = {f for f in kept if g[f] > 28 and pos[f] * (n_neg + 1) > 8 * (neg[f] + 0.5) * n_pos}
@@ -130,7 +131,7 @@ def train(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         move = 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
         w, bias, trans = w + move[: len(w)], bias + move[len(w)], trans + move[len(w) + 1 :].reshape(2, 2)
-    model |= {"bias": float(bias), "trans": trans.tolist(), "weights": {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.01}}
+    model |= {"bias": float(bias), "trans": trans.tolist(), "weights": {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.05}}
 
     tag_doc = tagger(model)
     x = np.array([[1.0, *tag_doc(t)[0]] for t, _ in rows])
