@@ -58,7 +58,8 @@ def template_matches(template: Column, call: Column) -> Column:
 
 
 def join_paths(a: Column, b: Column) -> Column:
-    return F.concat(F.lit("/"), F.concat_ws("/", F.expr("nullif('', '')"), F.when(F.trim(a, F.lit("/")) != "", F.trim(a, F.lit("/"))), F.when(F.trim(b, F.lit("/")) != "", F.trim(b, F.lit("/")))))
+    bare = lambda c: F.when(F.trim(c, F.lit("/")) != "", F.trim(c, F.lit("/")))
+    return F.concat(F.lit("/"), F.concat_ws("/", bare(a), bare(b)))
 
 
 def snake_plural(c: Column) -> Column:
