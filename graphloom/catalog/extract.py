@@ -207,3 +207,34 @@ QUERIES["z02_stream_dedupe"] = lambda spark, sf_dir: _stream(spark, sf_dir, "z02
 ORACLE_SQL["z02_stream_dedupe"] = "SELECT DISTINCT event_id FROM events"
 QUERIES["z09_stream_windows"] = lambda spark, sf_dir: _stream(spark, sf_dir, "z09", lambda s: ev.windowed_counts(s, "event_type", "ts", "6 hours"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 ORACLE_SQL["z09_stream_windows"] = "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+HELM = "db:\n  url: vault:db/url\n  user: app\nkey: ${secrets.API}\n"
+K8S = """kind: ConfigMap
+metadata: {name: conf}
+data: {A: "1", B: "2"}
+---
+kind: CronJob
+metadata: {name: job}
+spec: {jobTemplate: {spec: {template: {spec: {containers: [{name: c, env: [{name: X, value: v}, {name: Y, valueFrom: {secretKeyRef: {name: s, key: k}}}], envFrom: [{secretRef: {name: all}}]}]}}}}}
+"""
+
+
+def _with(spark, path, content):
+    return spark.createDataFrame([("r", path, content)], "repo_url string, path string, content string")
+
+
+golden("x23_helm_values", lambda f: x.helm_values(_with(f.sparkSession, "chart/values.yaml", HELM)).select("key", "label", "vendor"), "key, label, vendor", [("db.url", "SecretRef", "VAULT"), ("db.user", "ConfigKey", None), ("key", "SecretRef", "UNKNOWN")])
+golden("x24_k8s_config", lambda f: x.k8s_config(_with(f.sparkSession, "k8s/all.yaml", K8S)).select("source", "name", "key", "is_secret"), "source, name, key, is_secret", [
+    ("ConfigMap", "conf", "A", False), ("ConfigMap", "conf", "B", False), ("env", "job", "X", False), ("env", "job", "Y", True), ("envFrom", "job", "all", True)])
+golden("x12_symbol_nodes", lambda f: x.symbol_nodes(x.python_symbols(f.where("path = 'svc/store.py'"))).select("id", "label"), "id, label", [
+    ("r:cls:svc/store.py:Store@6", "Class"), ("r:method:svc/store.py:load@7", "Method"), ("r:method:svc/store.py:save@10", "Method"), ("r:fn:svc/store.py:create@15", "Function")])
+golden("x14_topic_graph", x.topic_graph, "id, producers, consumers", [("topic:orders.created", 1, 0), ("topic:orders.paid", 0, 1)])
+golden("x32_extraction", lambda f: x.extraction(f)[0].groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label, n", [("File", 16), ("Database", 1), ("Config", 3), ("Module", 8), ("Topic", 2), ("Class", 2), ("Method", 2), ("Function", 1)])
+golden("r09_run_eval", lambda f: _run(f.sparkSession), "id, predicted, class_correct, \"precision\", recall", [("1", "ownership", True, 1, 1), ("2", "unknown", False, 0, 1)])
+
+
+def _run(spark):
+    from graphloom.sources.cases import run_cases
+
+    cases = spark.createDataFrame([("1", "who owns pay-service", "ownership", ["a"]), ("2", "hi", "code", [])], "id string, question string, expectedClass string, goldCitations array<string>")
+    return run_cases(cases, spark.createDataFrame([("1", ["a"]), ("2", ["z"])], "id string, citations array<string>"))

@@ -367,3 +367,85 @@ def service_boundaries(files: DataFrame) -> DataFrame:
     best = rows.groupBy("repo_url").agg(F.min("rank").alias("rank"))
     how = F.when(F.col("rank") == 1, "package_json").when(F.col("rank") == 2, "dockerfile").otherwise("fallback")
     return rows.join(best, ["repo_url", "rank"]).select("repo_url", "directory", how.alias("detection_method")).distinct()
+
+
+def helm_values(files: DataFrame) -> DataFrame:
+    """Leaves of Helm values files: references to secret stores as SecretRef with their vendor, others as ConfigKey."""
+    from graphloom.functions.text import secret_vendor
+
+    rows = leaves(files.where(F.col("path").rlike(r"(?:^|/)values[^/]*\.ya?ml$")))
+    vendor = secret_vendor(F.col("value"))
+    reference = (vendor != "UNKNOWN") | F.col("value").rlike(r"(?i)\$\{?\s*secrets?\.")
+    return rows.select("repo_url", "path", "key", F.when(reference, "SecretRef").otherwise("ConfigKey").alias("label"), F.when(reference, vendor).alias("vendor"))
+
+
+def k8s_config(files: DataFrame) -> DataFrame:
+    """Config and secret keys of Kubernetes manifests: kind of source, object name, key, whether secret.
+
+    ConfigMap and Secret data, and env and envFrom of all containers, however deep (CronJobs too).
+    """
+
+    @F.pandas_udf("array<struct<source:string,name:string,key:string,is_secret:boolean>>")
+    def run(content):
+        import yaml
+
+        def containers(x):
+            if isinstance(x, dict):
+                for k, v in x.items():
+                    if k in ("containers", "initContainers") and isinstance(v, list):
+                        yield from (c for c in v if isinstance(c, dict))
+                    else:
+                        yield from containers(v)
+            elif isinstance(x, list):
+                for v in x:
+                    yield from containers(v)
+
+        def facts_of(d):
+            name = str((d.get("metadata") or {}).get("name", ""))
+            if d.get("kind") in ("ConfigMap", "Secret"):
+                secret = d["kind"] == "Secret"
+                for part in ("data", "stringData"):
+                    for key in d.get(part) or {}:
+                        yield {"source": d["kind"], "name": name, "key": str(key), "is_secret": secret}
+            for c in containers(d.get("spec")):
+                for e in c.get("env") or []:
+                    if isinstance(e, dict) and "name" in e:
+                        yield {"source": "env", "name": name, "key": str(e["name"]), "is_secret": "secretKeyRef" in (e.get("valueFrom") or {})}
+                for e in c.get("envFrom") or []:
+                    for ref in ("configMapRef", "secretRef"):
+                        if isinstance(e, dict) and ref in e:
+                            yield {"source": "envFrom", "name": name, "key": str((e[ref] or {}).get("name", "")), "is_secret": ref == "secretRef"}
+
+        def of(text):
+            try:
+                return [f for d in yaml.safe_load_all(text or "") if isinstance(d, dict) for f in facts_of(d)]
+            except (yaml.YAMLError, ValueError, RecursionError, AttributeError):
+                return []
+
+        return content.map(of)
+
+    wanted = files.where(F.col("path").rlike(r"\.ya?ml$") & F.col("content").contains("kind:"))
+    return wanted.select("repo_url", "path", F.explode(run("content")).alias("f")).select("repo_url", "path", "f.*")
+
+
+def symbol_nodes(symbols: DataFrame) -> DataFrame:
+    """Nodes and DEFINES edges' ends of symbols: id, label, name, file_id."""
+    prefix = F.when(F.col("kind") == "Class", "cls").when(F.col("kind") == "Method", "method").otherwise("fn")
+    node = F.concat(F.col("repo_url"), F.lit(":"), prefix, F.lit(":"), F.col("path"), F.lit(":"), F.col("name"), F.lit("@"), F.col("line_start").cast("string"))
+    return symbols.select(node.alias("id"), F.col("kind").alias("label"), "name", F.concat_ws(":", "repo_url", "path").alias("file_id"))
+
+
+def topic_graph(files: DataFrame) -> DataFrame:
+    """Topic nodes, each once, with how many files produce and consume it."""
+    rows = topics(files)
+    return rows.groupBy(F.concat(F.lit("topic:"), "topic").alias("id")).agg(F.count_if(F.col("kind") == "produce").alias("producers"), F.count_if(F.col("kind") == "consume").alias("consumers"))
+
+
+def extraction(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a set of files in one plan; the first of equal nodes and edges stays."""
+    file_nodes = files.select(F.concat_ws(":", "repo_url", "path").alias("id"), F.lit("File").alias("label"), F.col("path").alias("name"))
+    edges = import_edges(files)
+    kinds = F.when(F.col("type") == "USES", "Database").when(F.col("type") == "READS_CONFIG", "Config").when(F.col("type") == "IMPORTS", "Module").otherwise("Topic")
+    targets = edges.select(F.col("dst").alias("id"), kinds.alias("label"), F.regexp_extract("dst", "([^:]*)$", 1).alias("name"))
+    symbols = symbol_nodes(python_symbols(files)).select("id", "label", "name")
+    return file_nodes.unionByName(targets).unionByName(symbols).dropDuplicates(["id"]), edges.dropDuplicates(["src", "dst", "type"])
