@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,7 +190,7 @@ def _ranks(v: Vocabulary, keys: list):
     return word, history, flat
 
 
-def _messages(sent, pairs, weights, tasks: int):
+def _messages(sent, tasks: int):
     """Arrow mapper: documents -> rows (task, payload).
 
     A payload is a pickle of what one task needs of one block of documents: its tokens sorted by
@@ -198,19 +199,17 @@ def _messages(sent, pairs, weights, tasks: int):
 
     def run(batches):
         import pickle
-        import zlib
 
         import numpy as np
         import pyarrow as pa
+        import zstandard
         from pyspark import TaskContext
 
+        packer = zstandard.ZstdCompressor(level=1)
+
         known, v = _key_of(), sent.value
         n_classes = len(v.counts)
         n_head = min(HEAD, n_classes)
-        matrix = None if pairs is None else pairs.value
-        scores = None
-        if weights is not None:
-            scores = _head_scores(v, matrix, weights)
         block, held, size = 0, [], 0
         part = TaskContext.get().partitionId()
 
@@ -223,16 +222,13 @@ def _messages(sent, pairs, weights, tasks: int):
             head = (word < n_head) & (history < n_head)
             ids = [i for i, _, _ in held]
             first = (part << 36) + (block << 18)
-            direct = None
-            if scores is not None:
-                cells = history[head] * HEAD + word[head]
-                base = np.log10((v.counts[word[head]] + 1) / (v.total + v.types + 1)) if head.any() else np.zeros(0)
-                direct = (length, np.bincount(doc[head], minlength=len(keys)), np.bincount(doc[head], base, len(keys)), np.bincount(doc[head], scores[cells], len(keys)))
+            direct = (length, doc[head].astype(np.uint32), (history[head] * HEAD + word[head]).astype(np.uint32))
             rest = ~head
             w, h, d, r = flat[rest], history[rest], doc[rest], word[rest]
             mix = np.where(r < n_classes, (h.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
             owner = ((w ^ mix) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(33)) % np.uint64(tasks)
-            order = np.lexsort((d, h, w, owner))
+            order = np.argsort(w)
+            order = order[np.argsort(owner[order].astype(np.uint16 if tasks < 1 << 16 else np.uint32), kind="stable")]
             w, h, d, owner = w[order], h[order], d[order], owner[order].astype(np.int64)
             cuts = np.searchsorted(owner, np.arange(tasks + 1))
             names, out = [], []
@@ -241,12 +237,12 @@ def _messages(sent, pairs, weights, tasks: int):
                 lo, hi = cuts[t], cuts[t + 1]
                 if lo == hi and t != own:
                     continue
-                distinct, times = np.unique(w[lo:hi], return_counts=True)
-                payload = {"w": distinct, "n": times.astype(np.uint32), "h": h[lo:hi].astype(np.uint32 if n_classes > 65_000 else np.uint16), "d": d[lo:hi].astype(np.uint32 if len(keys) > 65_000 else np.uint16), "row": first, "train": np.packbits(train)}
+                edges = np.flatnonzero(np.r_[lo < hi, w[lo + 1 : hi] != w[lo : max(lo, hi - 1)]])
+                payload = {"w": w[lo:hi][edges], "n": np.diff(np.r_[edges, hi - lo]).astype(np.uint32), "h": h[lo:hi].astype(np.uint32 if n_classes > 65_000 else np.uint16), "d": d[lo:hi].astype(np.uint32 if len(keys) > 65_000 else np.uint16), "row": first, "train": np.packbits(train)}
                 if t == own:
                     payload |= {"direct": direct, "ids": ids, "rows": first + np.arange(len(keys))}
                 names.append(t)
-                out.append(zlib.compress(pickle.dumps(payload, 5), 1))
+                out.append(packer.compress(pickle.dumps(payload, 5)))
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], ["task", "payload"])
 
         for b in batches:
@@ -280,13 +276,14 @@ def _head_scores(v: Vocabulary, matrix, weights):
 def _tokens_of(payloads, v: Vocabulary):
     """All tokens of one task: (word count c(w), pair count c(v w), history class, row, train), and the direct parts."""
     import pickle
-    import zlib
 
     import numpy as np
+    import zstandard
 
+    unpacker = zstandard.ZstdDecompressor()
     w, h, row, train, direct = [], [], [], [], []
     for x in payloads:
-        p = pickle.loads(zlib.decompress(x))
+        p = pickle.loads(unpacker.decompress(x))
         w.append(np.repeat(p["w"], p["n"]))
         h.append(p["h"].astype(np.int64))
         row.append(p["row"] + p["d"].astype(np.int64))
@@ -321,7 +318,9 @@ def _group_histogram(sent):
     return run
 
 
-def _group_scores(sent, weights):
+def _group_scores(sent, pairs, weights):
+    """Arrow group function: the sums of one task, a row per block of documents with the arrays packed."""
+
     def run(table):
         import numpy as np
         import pyarrow as pa
@@ -330,19 +329,47 @@ def _group_scores(sent, weights):
         c1, c2, h, row, _, direct = _tokens_of(table.column("payload").to_pylist(), v)
         w = weights.value[_buckets(v.classes[h])]
         p = w[:, 0] * c2 / np.maximum(v.classes[h], 1) + w[:, 1] * c1 / max(v.total, 1) + w[:, 2] / (v.types + 1)
+        out = {"block": [], "ids": [], "at": [], "n_tokens": [], "sums": []}
+
+        def add(rows, known, base, score, ids=None, length=None):
+            out["block"].append(int(rows[0]) >> 18 if len(rows) else -1)
+            out["at"].append((rows & (1 << 18) - 1).astype("<u4").tobytes())
+            out["sums"].append(np.stack([known, base, score]).astype("<f8").tobytes())
+            out["ids"].append(ids)
+            out["n_tokens"].append(None if length is None else length.astype("<i8").tobytes())
+
         rows, at = np.unique(row, return_inverse=True)
-        n = len(rows)
-        base, score = np.log10((c1 + 1) / (v.total + v.types + 1)), np.log10(p)
-        parts = [([None] * n, rows, np.zeros(n, np.int64), np.bincount(at, c1 > 0, n), np.bincount(at, base, n), np.bincount(at, score, n))]
-        parts += [(ids, r, *x) for ids, r, x in direct]
-        columns = [[i for p in parts for i in p[0]], *(np.concatenate([p[k] for p in parts]) for k in range(1, 6))]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        names = ("doc_id", "row", "n_tokens", "n_known", "base_score", "score", "named")
-        return pa.table({c: pa.array(x, k, safe=False) for c, x, k in zip(names, columns, kinds)})
+        sums = [np.bincount(at, x, len(rows)) for x in (c1 > 0, np.log10((c1 + 1) / (v.total + v.types + 1)), np.log10(p))]
+        cuts = np.flatnonzero(np.r_[True, rows[1:] >> 18 != rows[:-1] >> 18]) if len(rows) else np.zeros(0, int)
+        for lo, hi in zip(cuts, [*cuts[1:], len(rows)]):
+            add(rows[lo:hi], *(x[lo:hi] for x in sums))
+        scores = _head_scores(v, pairs.value, weights) if direct else None
+        for ids, rows, (length, doc, cells) in direct:
+            base = np.log10((v.counts[cells % HEAD] + 1) / (v.total + v.types + 1)) if len(cells) else np.zeros(0)
+            add(rows, np.bincount(doc, minlength=len(ids)), np.bincount(doc, base, len(ids)), np.bincount(doc, scores[cells], len(ids)), ids, length)
+        kinds = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "at": pa.binary(), "n_tokens": pa.binary(), "sums": pa.binary()}
+        return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()})
 
     return run
 
 
+def _sum_block(table):
+    """Arrow group function: all tasks' sums of one block of documents -> a row per document."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = table.to_pylist()
+    own = next(r for r in rows if r["ids"] is not None)
+    total = np.zeros((3, len(own["ids"])))
+    for r in rows:
+        at = np.frombuffer(r["at"], "<u4")
+        total[:, at] += np.frombuffer(r["sums"], "<f8").reshape(3, len(at))
+    return pa.table({
+        "doc_id": pa.array(own["ids"], pa.int64()), "n_tokens": pa.array(np.frombuffer(own["n_tokens"], "<i8")),
+        "n_known": pa.array(np.rint(total[0]).astype(np.int64)), "base_score": pa.array(total[1]), "score": pa.array(total[2]),
+    })
+
+
 def score_documents(docs: DataFrame, train) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs(doc_id, text)`.
 
@@ -366,12 +393,11 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
     share = docs.agg(F.avg(F.col("train").cast("double"))).first()[0] or 1.0
     tasks = max(8, math.ceil(total / max(share, 0.01) / TOKENS_A_TASK))
 
-    def grouped(weights):
-        rows = docs.mapInArrow(_messages(sent, pairs, weights, tasks), "task long, payload binary")
-        return rows.groupBy("task")
-
+    messages = docs.mapInArrow(_messages(sent, tasks), "task long, payload binary").repartition(tasks, "task")
+    # read twice: by the histogram and by the scores; a lost block is computed again
+    messages = messages.persist(StorageLevel.DISK_ONLY)
     cells: dict[int, int] = {}
-    for r in grouped(None).applyInArrow(_group_histogram(sent), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # at most 64 * 2**14 cells
+    for r in messages.groupBy("task").applyInArrow(_group_histogram(sent), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # at most 64 * 2**14 cells
         cells[r["code"]] = r["n"]
     n = min(HEAD, len(v.counts))
     history, word = np.nonzero(matrix.reshape(HEAD, HEAD)[:n, :n])
@@ -379,11 +405,11 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
     for code, k in zip(*_histogram(_buckets(v.classes[history]), c, v.classes[history], v.counts[word], total, c)) if len(c) else ():
         cells[int(code)] = cells.get(int(code), 0) + int(k)
     weights = sc.broadcast(learn_weights(sorted(cells.items()), types))
-    parts = grouped(weights).applyInArrow(_group_scores(sent, weights), "doc_id long, row long, n_tokens long, n_known long, base_score double, score double")
-    summed = parts.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))
-    )
-    return summed.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    parts = messages.groupBy("task").applyInArrow(_group_scores(sent, pairs, weights), "block long, ids array<long>, at binary, n_tokens binary, sums binary")
+    summed = parts.groupBy("block").applyInArrow(_sum_block, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    done = materialize(summed.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"), "lm-scores")
+    messages.unpersist()
+    return done
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
