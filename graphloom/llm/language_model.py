@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,7 +204,7 @@ def _messages(sent, tasks: int):
         import zstandard
         from pyspark import TaskContext
 
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
 
         known, v = _key_of(), sent.value
         n_classes = len(v.counts)
@@ -227,7 +226,7 @@ def _messages(sent, tasks: int):
             w, h, d, r = flat[rest], history[rest], doc[rest], word[rest]
             mix = np.where(r < n_classes, (h.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
             owner = ((w ^ mix) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(33)) % np.uint64(tasks)
-            order = np.argsort(w)
+            order = np.argsort(w, kind="stable")
             order = order[np.argsort(owner[order].astype(np.uint16 if tasks < 1 << 16 else np.uint32), kind="stable")]
             w, h, d, owner = w[order], h[order], d[order], owner[order].astype(np.int64)
             cuts = np.searchsorted(owner, np.arange(tasks + 1))
@@ -393,11 +392,11 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
     share = docs.agg(F.avg(F.col("train").cast("double"))).first()[0] or 1.0
     tasks = max(8, math.ceil(total / max(share, 0.01) / TOKENS_A_TASK))
 
-    messages = docs.mapInArrow(_messages(sent, tasks), "task long, payload binary").repartition(tasks, "task")
-    # read twice: by the histogram and by the scores; a lost block is computed again
-    messages = messages.persist(StorageLevel.DISK_ONLY)
+    # computed twice, for the histogram and for the scores; the first shuffle's files go when the histogram is written
+    messages = docs.mapInArrow(_messages(sent, tasks), "task long, payload binary")
+    bins = materialize(messages.groupBy("task").applyInArrow(_group_histogram(sent), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "lm-bins")
     cells: dict[int, int] = {}
-    for r in messages.groupBy("task").applyInArrow(_group_histogram(sent), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # at most 64 * 2**14 cells
+    for r in bins.collect():  # at most 64 * 2**14 cells
         cells[r["code"]] = r["n"]
     n = min(HEAD, len(v.counts))
     history, word = np.nonzero(matrix.reshape(HEAD, HEAD)[:n, :n])
@@ -407,9 +406,7 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
     weights = sc.broadcast(learn_weights(sorted(cells.items()), types))
     parts = messages.groupBy("task").applyInArrow(_group_scores(sent, pairs, weights), "block long, ids array<long>, at binary, n_tokens binary, sums binary")
     summed = parts.groupBy("block").applyInArrow(_sum_block, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    done = materialize(summed.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"), "lm-scores")
-    messages.unpersist()
-    return done
+    return summed.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
