@@ -137,7 +137,7 @@ def test_toxicity_learns_and_tags():
     assert [text[s:e] for s, e, _ in score(text)[1]] == ["Nastywordish"]
     assert 0 <= score("")[0] < 0.5 and score(None) == score("")
     untrained = toxicity.train([])
-    assert toxicity.scorer(untrained)("x")[0] == pytest.approx(0.5)
+    assert toxicity.scorer(untrained)("x")[0] == pytest.approx(0.49)
 
 
 def test_marginals_are_exact():
