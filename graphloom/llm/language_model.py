@@ -11,8 +11,9 @@ How it runs: (1) word counts, a map-side combined sum. (2) Counts of the pairs o
 frequent words, which are all pairs that can be frequent: at most HEAD**2 numbers. (3) All other
 tokens go, packed by block of documents, to the task that owns the word (a frequent word: the
 word and its history), where both counts are local. Each task knows c(w) and c(v w) of its
-tokens, sums per document, and the sums meet by document. Steps 2 and 3 read the text again
-rather than keep it. No task owns more than about 1/HEAD of the tokens above an even share.
+tokens, sums per document, and the sums meet by document. The text is read three times rather
+than kept: for step 1, for step 2 along with the held-out histogram of step 3, and for the
+scores. No task owns more than about 1/HEAD of the tokens above an even share.
 """
 
 from __future__ import annotations
@@ -154,28 +155,6 @@ def learn_weights(cells: list[tuple[int, int]], types: int, rounds: int = 60):
     return out
 
 
-def _head_pairs(docs: DataFrame, sent) -> DataFrame:
-    """(cell, c): training counts of pairs of the HEAD most frequent words; cell = history * HEAD + word."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        known, v = _key_of(), sent.value
-        counts = np.zeros(HEAD * HEAD, np.int64)
-        for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                keys = [_keys(known, t.as_py()) for t in b.column(0).slice(lo, 200)]
-                if keys:
-                    word, history, _ = _ranks(v, keys)
-                    both = np.maximum(word, history) < min(HEAD, len(v.counts))
-                    counts += np.bincount(history[both] * HEAD + word[both], minlength=HEAD * HEAD)
-        cells = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "c"])
-
-    return docs.where("train").select("text").mapInArrow(run, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c"))
-
-
 def _ranks(v: Vocabulary, keys: list):
     """Ranks of the tokens, of their histories (a text begins after an end), and the keys, of texts in a row."""
     import numpy as np
@@ -288,7 +267,7 @@ def _tokens_of(payloads, v: Vocabulary):
         row.append(p["row"] + p["d"].astype(np.int64))
         train.append(np.unpackbits(p["train"])[p["d"].astype(np.int64)])
         if "direct" in p:
-            direct.append((p["ids"], p["rows"], p["direct"]))
+            direct.append((p["ids"], p["rows"], p["direct"], np.unpackbits(p["train"])))
     w, h, row, train = (np.concatenate(x) for x in (w, h, row, train))
     order = np.lexsort((h, w))
     w, h, row, train = w[order], h[order], row[order], train[order]
@@ -304,15 +283,24 @@ def _tokens_of(payloads, v: Vocabulary):
 
 
 def _group_histogram(sent):
+    """Arrow group function: one task's part of the held-out histogram, and of the head pairs' training counts.
+
+    A head pair's cell is history * HEAD + word; its count has the code -1 - cell.
+    """
+
     def run(table):
         import numpy as np
         import pyarrow as pa
 
         v = sent.value
-        c1, c2, h, _, train, _ = _tokens_of(table.column("payload").to_pylist(), v)
+        c1, c2, h, _, train, direct = _tokens_of(table.column("payload").to_pylist(), v)
         classes = v.classes[h[train]]
         code, count = _histogram(_buckets(classes), c2[train], classes, c1[train], v.total)
-        return pa.table({"code": pa.array(code, pa.int64()), "n": pa.array(count.astype(np.int64))})
+        pairs = np.zeros(HEAD * HEAD, np.int64)
+        for _, _, (_, doc, cell), learnt in direct:
+            pairs += np.bincount(cell[learnt[doc] > 0], minlength=HEAD * HEAD)
+        cells = np.flatnonzero(pairs)
+        return pa.table({"code": pa.array(np.concatenate([code, -1 - cells]), pa.int64()), "n": pa.array(np.concatenate([count.astype(np.int64), pairs[cells]]))})
 
     return run
 
@@ -343,7 +331,7 @@ def _group_scores(sent, pairs, weights):
         for lo, hi in zip(cuts, [*cuts[1:], len(rows)]):
             add(rows[lo:hi], *(x[lo:hi] for x in sums))
         scores = _head_scores(v, pairs.value, weights) if direct else None
-        for ids, rows, (length, doc, cells) in direct:
+        for ids, rows, (length, doc, cells), _ in direct:
             base = np.log10((v.counts[cells % HEAD] + 1) / (v.total + v.types + 1)) if len(cells) else np.zeros(0)
             add(rows, np.bincount(doc, minlength=len(ids)), np.bincount(doc, base, len(ids)), np.bincount(doc, scores[cells], len(ids)), ids, length)
         kinds = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "at": pa.binary(), "n_tokens": pa.binary(), "sums": pa.binary()}
@@ -385,10 +373,6 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
     sent = sc.broadcast(v)  # at most CLASSES words
     import numpy as np
 
-    matrix = np.zeros(HEAD * HEAD, np.int64)
-    for r in _head_pairs(docs, sent).collect():  # at most HEAD**2 rows
-        matrix[r["cell"]] = r["c"]
-    pairs = sc.broadcast(matrix)
     share = docs.agg(F.avg(F.col("train").cast("double"))).first()[0] or 1.0
     tasks = max(8, math.ceil(total / max(share, 0.01) / TOKENS_A_TASK))
 
@@ -396,8 +380,13 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
     messages = docs.mapInArrow(_messages(sent, tasks), "task long, payload binary")
     bins = materialize(messages.groupBy("task").applyInArrow(_group_histogram(sent), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "lm-bins")
     cells: dict[int, int] = {}
-    for r in bins.collect():  # at most 64 * 2**14 cells
-        cells[r["code"]] = r["n"]
+    matrix = np.zeros(HEAD * HEAD, np.int64)
+    for r in bins.collect():  # at most 64 * 2**14 cells, and HEAD**2 pairs
+        if r["code"] < 0:
+            matrix[-1 - r["code"]] = r["n"]
+        else:
+            cells[r["code"]] = r["n"]
+    pairs = sc.broadcast(matrix)
     n = min(HEAD, len(v.counts))
     history, word = np.nonzero(matrix.reshape(HEAD, HEAD)[:n, :n])
     c = matrix.reshape(HEAD, HEAD)[history, word]
