@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, packing, pii, simhash, toxicity
+from graphloom.llm import decontaminate, near_duplicates, packing, pii, toxicity
 from graphloom.llm.common import documents, materialize
 
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of documents that SimHash fingerprints link."""
-    return simhash.keep_one(docs)
+    """One row of each group of documents that a five-word Jaccard similarity of 0.8 or more links."""
+    return near_duplicates.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
