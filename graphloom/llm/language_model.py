@@ -1,9 +1,9 @@
 """Bigram language model with deleted interpolation.
 
-P(w | v) = l2 * c(class(v) w) / c(class(v)) + l1 * c(w) / N + l0 / (V + 1). The history v is
-known by its class: each of the CLASSES most frequent words is a class of its own, all other
-words share one. The weights l depend on the frequency bucket of the history class; they are
-learned by expectation-maximisation on held-out counts, each token of the training text held
+P(w | v) = l2 * c(v w) / c(v) + l1 * c(w) / N + l0 / (V + 1), for every history v. The counts of
+the CLASSES most frequent words are broadcast; a rarer history goes by its 64-bit key, and its
+count c(v) is joined for the tasks that need it. The weights l depend on the frequency bucket of
+the history; they are learned by expectation-maximisation on held-out counts, each token of the training text held
 out in turn (its own occurrence is deleted from every count). Every document contributes to
 the counts, and every token of every document is scored with exact counts.
 
@@ -11,9 +11,9 @@ How it runs: (1) word counts, a map-side combined sum. (2) Counts of the pairs o
 frequent words, which are all pairs that can be frequent: at most HEAD**2 numbers. (3) All other
 tokens go, packed by block of documents, to the task that owns the word (a frequent word: the
 word and its history), where both counts are local. Each task knows c(w) and c(v w) of its
-tokens, sums per document, and the sums meet by document. The text is read three times rather
-than kept: for step 1, for step 2 along with the held-out histogram of step 3, and for the
-scores. No task owns more than about 1/HEAD of the tokens above an even share.
+tokens, sums per document, and the sums meet by document. The text is read four times rather
+than kept: for step 1, for the rare histories of each task, for step 2 along with the held-out
+histogram of step 3, and for the scores. No task owns more than about 1/HEAD of the tokens above an even share.
 """
 
 from __future__ import annotations
@@ -104,8 +104,8 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.counts = np.array([c for _, c in frequent], np.int64)
         self.total, self.types = total, types
-        #: count of each history class; the last is the class of all other words
-        self.classes = np.append(self.counts, max(0, total - self.counts.sum()))
+        #: count of each frequent history; the last stands for all others, whose counts are joined
+        self.classes = np.append(self.counts, 0)
 
     def rank(self, keys):
         """Rank of each key, len(counts) for other words."""
@@ -156,7 +156,7 @@ def learn_weights(cells: list[tuple[int, int]], types: int, rounds: int = 60):
 
 
 def _ranks(v: Vocabulary, keys: list):
-    """Ranks of the tokens, of their histories (a text begins after an end), and the keys, of texts in a row."""
+    """Ranks of the tokens, of their histories (a text begins after an end), and both's keys, of texts in a row."""
     import numpy as np
 
     flat = np.concatenate(keys)
@@ -165,7 +165,50 @@ def _ranks(v: Vocabulary, keys: list):
     history[1:] = word[:-1]
     first = np.cumsum([0] + [len(k) for k in keys[:-1]])
     history[first] = v.rank(np.zeros(1, np.uint64))[0]
-    return word, history, flat
+    before = np.empty_like(flat)
+    before[1:] = flat[:-1]
+    before[first] = END
+    return word, history, flat, before
+
+
+def _owner(r, h, w, before, n_classes: int, tasks: int):
+    """Task of each token: by its word; of a frequent word, by the word and its history."""
+    import numpy as np
+
+    mark = np.where(h < n_classes, h.astype(np.uint64) + np.uint64(1), before)
+    mix = np.where(r < n_classes, mark * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+    return ((w ^ mix) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(33)) % np.uint64(tasks)
+
+
+def _rare_histories(sent, tasks: int):
+    """Arrow mapper: documents -> (task, v) for the rare histories of each task's tokens."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known, v = _key_of(), sent.value
+        n_classes = len(v.counts)
+        held, size = [], 0
+
+        def flush():
+            word, history, flat, before = _ranks(v, held)
+            rare = history == n_classes
+            owner = _owner(word[rare], history[rare], flat[rare], before[rare], n_classes, tasks).astype(np.int64)
+            found = np.unique(np.stack([owner, before[rare].view(np.int64)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["task", "v"])
+
+        for b in batches:
+            for text in b.column(0):
+                held.append(_keys(known, text.as_py()))
+                size += len(held[-1])
+                if size > BLOCK_TOKENS:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
 
 
 def _messages(sent, tasks: int):
@@ -193,7 +236,7 @@ def _messages(sent, tasks: int):
 
         def flush():
             keys = [k for _, _, k in held]
-            word, history, flat = _ranks(v, keys)
+            word, history, flat, before = _ranks(v, keys)
             length = np.array([len(k) for k in keys])
             doc = np.repeat(np.arange(len(keys)), length)
             train = np.array([t for _, t, _ in held])
@@ -202,12 +245,11 @@ def _messages(sent, tasks: int):
             first = (part << 36) + (block << 18)
             direct = (length, doc[head].astype(np.uint32), (history[head] * HEAD + word[head]).astype(np.uint32))
             rest = ~head
-            w, h, d, r = flat[rest], history[rest], doc[rest], word[rest]
-            mix = np.where(r < n_classes, (h.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
-            owner = ((w ^ mix) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(33)) % np.uint64(tasks)
+            w, h, d, r, past = flat[rest], history[rest], doc[rest], word[rest], before[rest]
+            owner = _owner(r, h, w, past, n_classes, tasks)
             order = np.argsort(w, kind="stable")
             order = order[np.argsort(owner[order].astype(np.uint16 if tasks < 1 << 16 else np.uint32), kind="stable")]
-            w, h, d, owner = w[order], h[order], d[order], owner[order].astype(np.int64)
+            w, h, d, past, owner = w[order], h[order], d[order], past[order], owner[order].astype(np.int64)
             cuts = np.searchsorted(owner, np.arange(tasks + 1))
             names, out = [], []
             own = (part * 7919 + block) % tasks
@@ -216,7 +258,7 @@ def _messages(sent, tasks: int):
                 if lo == hi and t != own:
                     continue
                 edges = np.flatnonzero(np.r_[lo < hi, w[lo + 1 : hi] != w[lo : max(lo, hi - 1)]])
-                payload = {"w": w[lo:hi][edges], "n": np.diff(np.r_[edges, hi - lo]).astype(np.uint32), "h": h[lo:hi].astype(np.uint32 if n_classes > 65_000 else np.uint16), "d": d[lo:hi].astype(np.uint32 if len(keys) > 65_000 else np.uint16), "row": first, "train": np.packbits(train)}
+                payload = {"w": w[lo:hi][edges], "n": np.diff(np.r_[edges, hi - lo]).astype(np.uint32), "h": h[lo:hi].astype(np.uint32 if n_classes > 65_000 else np.uint16), "d": d[lo:hi].astype(np.uint32 if len(keys) > 65_000 else np.uint16), "row": first, "train": np.packbits(train), "rare": past[lo:hi][h[lo:hi] == n_classes]}
                 if t == own:
                     payload |= {"direct": direct, "ids": ids, "rows": first + np.arange(len(keys))}
                 names.append(t)
@@ -251,35 +293,46 @@ def _head_scores(v: Vocabulary, matrix, weights):
     return scores
 
 
-def _tokens_of(payloads, v: Vocabulary):
-    """All tokens of one task: (word count c(w), pair count c(v w), history class, row, train), and the direct parts."""
+def _tokens_of(payloads, v: Vocabulary, rare):
+    """All tokens of one task: (word count c(w), pair count c(v w), history count c(v), row, train), and the direct parts.
+
+    `rare`: table (v, c) of the counts of the task's rare histories; those without a row were not in training.
+    """
     import pickle
 
     import numpy as np
     import zstandard
 
     unpacker = zstandard.ZstdDecompressor()
-    w, h, row, train, direct = [], [], [], [], []
+    w, h, past, row, train, direct = [], [], [], [], [], []
+    names = rare.column("v").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    names, times = np.append(names[order], np.uint64(0)), np.append(rare.column("c").to_numpy().astype(np.int64)[order], 0)
     for x in payloads:
         p = pickle.loads(unpacker.decompress(x))
         w.append(np.repeat(p["w"], p["n"]))
         h.append(p["h"].astype(np.int64))
+        key = h[-1].astype(np.uint64)
+        key[h[-1] == len(v.counts)] = p["rare"]
+        past.append(key)
         row.append(p["row"] + p["d"].astype(np.int64))
         train.append(np.unpackbits(p["train"])[p["d"].astype(np.int64)])
         if "direct" in p:
             direct.append((p["ids"], p["rows"], p["direct"], np.unpackbits(p["train"])))
-    w, h, row, train = (np.concatenate(x) for x in (w, h, row, train))
-    order = np.lexsort((h, w))
-    w, h, row, train = w[order], h[order], row[order], train[order]
+    w, h, past, row, train = (np.concatenate(x) for x in (w, h, past, row, train))
+    order = np.lexsort((past, w))
+    w, h, past, row, train = w[order], h[order], past[order], row[order], train[order]
     edge = np.r_[True, w[1:] != w[:-1]] if len(w) else np.zeros(0, bool)
     group = np.cumsum(edge) - 1
-    pair = np.cumsum(edge | np.r_[True, h[1:] != h[:-1]]) - 1 if len(w) else group
+    pair = np.cumsum(edge | np.r_[True, past[1:] != past[:-1]]) - 1 if len(w) else group
     c1 = np.bincount(group, train)[group] if len(w) else np.zeros(0)
     c2 = np.bincount(pair, train)[pair] if len(w) else np.zeros(0)
     rank = v.rank(w)
     known = rank < len(v.counts)
     c1 = np.where(known, v.counts[np.minimum(rank, max(0, len(v.counts) - 1))] if len(v.counts) else 0, c1)
-    return c1, c2, h, row, train.astype(bool), direct
+    at = np.searchsorted(names[:-1], past)
+    found = np.where(names[at] == past, times[at], 0)
+    return c1, c2, np.where(h < len(v.counts), v.classes[h], found), row, train.astype(bool), direct
 
 
 def _group_histogram(sent):
@@ -288,13 +341,13 @@ def _group_histogram(sent):
     A head pair's cell is history * HEAD + word; its count has the code -1 - cell.
     """
 
-    def run(table):
+    def run(table, rare):
         import numpy as np
         import pyarrow as pa
 
         v = sent.value
-        c1, c2, h, _, train, direct = _tokens_of(table.column("payload").to_pylist(), v)
-        classes = v.classes[h[train]]
+        c1, c2, cv, _, train, direct = _tokens_of(table.column("payload").to_pylist(), v, rare)
+        classes = cv[train]
         code, count = _histogram(_buckets(classes), c2[train], classes, c1[train], v.total)
         pairs = np.zeros(HEAD * HEAD, np.int64)
         for _, _, (_, doc, cell), learnt in direct:
@@ -308,14 +361,14 @@ def _group_histogram(sent):
 def _group_scores(sent, pairs, weights):
     """Arrow group function: the sums of one task, a row per block of documents with the arrays packed."""
 
-    def run(table):
+    def run(table, rare):
         import numpy as np
         import pyarrow as pa
 
         v = sent.value
-        c1, c2, h, row, _, direct = _tokens_of(table.column("payload").to_pylist(), v)
-        w = weights.value[_buckets(v.classes[h])]
-        p = w[:, 0] * c2 / np.maximum(v.classes[h], 1) + w[:, 1] * c1 / max(v.total, 1) + w[:, 2] / (v.types + 1)
+        c1, c2, cv, row, _, direct = _tokens_of(table.column("payload").to_pylist(), v, rare)
+        w = weights.value[_buckets(cv)]
+        p = w[:, 0] * c2 / np.maximum(cv, 1) + w[:, 1] * c1 / max(v.total, 1) + w[:, 2] / (v.types + 1)
         out = {"block": [], "ids": [], "at": [], "n_tokens": [], "sums": []}
 
         def add(rows, known, base, score, ids=None, length=None):
@@ -378,7 +431,9 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
 
     # computed twice, for the histogram and for the scores; the first shuffle's files go when the histogram is written
     messages = docs.mapInArrow(_messages(sent, tasks), "task long, payload binary")
-    bins = materialize(messages.groupBy("task").applyInArrow(_group_histogram(sent), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "lm-bins")
+    past = docs.select("text").mapInArrow(_rare_histories(sent, tasks), "task long, v long").distinct()
+    rare = materialize(past.join(counts.select(F.col("w").alias("v"), "c"), "v").select("task", "v", "c"), "lm-histories").groupBy("task")
+    bins = materialize(messages.groupBy("task").cogroup(rare).applyInArrow(_group_histogram(sent), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "lm-bins")
     cells: dict[int, int] = {}
     matrix = np.zeros(HEAD * HEAD, np.int64)
     for r in bins.collect():  # at most 64 * 2**14 cells, and HEAD**2 pairs
@@ -393,7 +448,7 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
     for code, k in zip(*_histogram(_buckets(v.classes[history]), c, v.classes[history], v.counts[word], total, c)) if len(c) else ():
         cells[int(code)] = cells.get(int(code), 0) + int(k)
     weights = sc.broadcast(learn_weights(sorted(cells.items()), types))
-    parts = messages.groupBy("task").applyInArrow(_group_scores(sent, pairs, weights), "block long, ids array<long>, at binary, n_tokens binary, sums binary")
+    parts = messages.groupBy("task").cogroup(rare).applyInArrow(_group_scores(sent, pairs, weights), "block long, ids array<long>, at binary, n_tokens binary, sums binary")
     summed = parts.groupBy("block").applyInArrow(_sum_block, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return summed.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
