@@ -221,25 +221,6 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, shingle: int = 3, block
     return prints.join(table, "fp", "left").select("doc_id", "fp", "label", "component_id")
 
 
-def keep_one(docs: DataFrame, threshold: int = 3, shingle: int = 3) -> DataFrame:
-    """The rows of `docs` that stay when each group of near-duplicates keeps its smallest doc_id.
-
-    A group without any id keeps one row; of repeated rows of the kept id one stays.
-    """
-    found = near_duplicates(docs, threshold, shingle)
-    first = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label", "doc_id").count(), "simhash-kept")
-    many = first.where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__many"))
-    once = docs.join(first.where("count = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if many.isEmpty():
-        return once
-    again = docs.join(many.distinct(), docs["doc_id"].eqNullSafe(F.col("__many")), "left_semi")
-    cols = again.columns
-    marked = fingerprints(again.withColumns({"__copy": F.col("text")}), "__copy", shingle, "__print")
-    labels = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__print"), F.col("label").alias("__label")).distinct()
-    same = marked["doc_id"].eqNullSafe(labels["__id"]) & (marked["__print"] == labels["__print"])
-    return once.unionByName(marked.join(labels, same).dropDuplicates(["__label"]).select(cols))
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of documents."""
     found = near_duplicates(documents(spark, sf_dir))

@@ -6,7 +6,12 @@ ODD = [
     (3, None, None), (4, "", "z"), (None, "no id here at all", "q"), (None, "no id here at all", "q"), (None, None, None), (5, "one", "w"), (6, "two words", None),
     (7, LONG, "l"), (8, "é ü 日本 \U0001f600 text", "u"), (9, " \n\t ", "b"), (10, "a" * 50_000, "r"), (-3, "negative id", "n"),
 ]
-CLASHES = ("fp", "label", "row", "spans", "found", "count", "sequence_id", "offset", "n", "kind", "t", "start", "task", "order_hash", "form", "text_")
+#: Names that operators use inside.
+CLASHES = (
+    "fp", "label", "row", "spans", "found", "count", "sequence_id", "offset", "sequences", "lower_bound", "n", "kind", "t", "start", "task", "order_hash", "form",
+    "text_", "text_sent", "toxicity", "toxic_spans", "met", "__met", "__text", "__many", "__copy", "__print", "__id", "__label", "__fp", "b_email", "w_ip", "others",
+    "c0", "c1", "node", "size", "blocks", "check", "rank", "best", "sent", "at", "words", "stays", "pieces", "piece", "length", "train", "block", "ids", "fingerprint", "n_chars",
+)
 
 
 @pytest.fixture(scope="session")
@@ -18,6 +23,18 @@ def odd_docs(spark):
     return df.withColumns({c: F.lit("clash") for c in CLASHES})
 
 
+@pytest.fixture(scope="session")
+def clashing(odd_docs, tables, tmp_path_factory):
+    """The odd tables with columns of every name used inside."""
+    import shutil
+
+    d = str(tmp_path_factory.mktemp("clash"))
+    odd_docs.write.parquet(f"{d}/documents.parquet")
+    for x in ("labels", "benchmark"):
+        shutil.copytree(f"{tables}/{x}.parquet", f"{d}/{x}.parquet")
+    return d
+
+
 @pytest.fixture(scope="session")
 def no_docs(odd_docs):
     return odd_docs.limit(0)
