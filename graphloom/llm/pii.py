@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import documents, materialize
+from graphloom.llm.common import documents, free_names, materialize, packed, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _DOMAIN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -159,10 +159,12 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
         base = F.filter(matches(F.col("t"), BASE[kind]), lambda s: _PASSES[kind](s["match"]))
         parts.append((f"b_{kind}", F.transform(base, described(kind, True))))
         parts.append((f"w_{kind}", F.transform(matches(F.col("t"), WIDER[kind]), described(kind, False))))
-    rows = docs.select(*keep, text.alias("t"))
-    rows = rows.select(*keep, *(c.alias(n) for n, c in parts))
+    names = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), text.alias("t"))
+    rows = rows.select(*names, *(c.alias(n) for n, c in parts))
     free = lambda kind: F.filter(f"w_{kind}", lambda w: ~F.exists(f"b_{kind}", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return rows.select(*keep, F.concat(*(c for kind in KINDS for c in (F.col(f"b_{kind}"), free(kind)))).alias("found"))
+    found = rows.select(*names, F.concat(*(c for kind in KINDS for c in (F.col(f"b_{kind}"), free(kind)))).alias("found"))
+    return found.toDF(*keep, *free_names(docs.select(*keep), "found"))
 
 
 def estimate(patterns: list[tuple], rounds: int = 50) -> dict[tuple, float]:
@@ -191,31 +193,32 @@ def estimate(patterns: list[tuple], rounds: int = 50) -> dict[tuple, float]:
 
 
 def classifier(found: DataFrame) -> Callable[[Column], Column]:
-    """The trained span classifier: candidate struct -> probability that it is personal data."""
-    each = found.select(F.explode("found").alias("c")).select("c.*")
-    table = each.groupBy("kind", "regex", "gazetteer", "context").count().collect()  # at most 27 patterns of a kind
-    patterns = defaultdict(list)
-    for r in table:
-        patterns[r["kind"]].append(((r["regex"], r["gazetteer"], r["context"]), r["count"]))
-    soft = {(kind, *votes): p for kind, own in patterns.items() for votes, p in estimate(sorted(own, key=str)).items()}
+    """The trained span classifier: candidate struct -> probability that it is personal data.
 
-    def name(c):  # a pattern as text
-        return F.concat_ws("|", c["kind"], *(F.coalesce(c[v].cast("string"), F.lit("-")) for v in FEATURES[:3]))
+    `found`: an array of candidates a row. One aggregate of it comes to the driver: counts by kind,
+    votes and shape, all of fixed sets of values (at most 4 * 27 * 16 * 41).
+    """
+    each = found.select(F.explode(found.columns[-1]).alias("c")).select("c.kind", *(F.col(f"c.{f}") for f in FEATURES))
+    table = each.groupBy("kind", *FEATURES).count().collect()
+    votes = defaultdict(lambda: defaultdict(int))
+    for r in table:
+        votes[r["kind"]][tuple(r[f] for f in FEATURES[:3])] += r["count"]
+    soft = {(kind, *v): p for kind, own in votes.items() for v, p in estimate(sorted(own.items(), key=str)).items()}
 
     def lookup(values: dict[str, float], key: Column, other: float) -> Column:
         if not values:
             return F.lit(other)
         return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in sorted(values.items()) for x in kv)), key), F.lit(other))
 
-    q = lookup({"|".join("-" if x is None else str(x) for x in key): p for key, p in soft.items()}, name(each), 0.5)
-    values = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.coalesce(F.col(f).cast("string"), F.lit("-")).alias("v")) for f in FEATURES)))
-    counts = each.select("kind", q.alias("q"), values.alias("x")).groupBy("kind", "x.f", "x.v").agg(F.sum("q").alias("yes"), F.sum(1 - F.col("q")).alias("no")).collect()  # kinds x features x values, all fixed sets
     total = defaultdict(lambda: [1.0, 1.0])
-    for r in counts:
-        if r["f"] == FEATURES[0]:
-            total[r["kind"]][0] += r["yes"]
-            total[r["kind"]][1] += r["no"]
-    odds = {f"{r['kind']}|{r['f']}|{r['v']}": math.log((r["yes"] + 1) / (total[r["kind"]][0] + 4)) - math.log((r["no"] + 1) / (total[r["kind"]][1] + 4)) for r in counts}
+    counts = defaultdict(lambda: [0.0, 0.0])
+    for r in table:
+        q = soft[(r["kind"], *(r[f] for f in FEATURES[:3]))]
+        for y, share in enumerate((q, 1 - q)):
+            total[r["kind"]][y] += r["count"] * share
+            for f in FEATURES:
+                counts[r["kind"], f, "-" if r[f] is None else str(r[f])][y] += r["count"] * share
+    odds = {f"{kind}|{f}|{v}": math.log((yes + 1) / (total[kind][0] + 4)) - math.log((no + 1) / (total[kind][1] + 4)) for (kind, f, v), (yes, no) in counts.items()}
     first = {kind: math.log(yes / no) for kind, (yes, no) in total.items()}
 
     def probability(c: Column) -> Column:
@@ -227,16 +230,22 @@ def classifier(found: DataFrame) -> Callable[[Column], Column]:
     return probability
 
 
+def _decided(found: DataFrame, probability: Callable[[Column], Column], least: float) -> DataFrame:
+    """The last column, an array of candidates, becomes that of the spans that stay, in order."""
+    *kept, name = found.columns
+    spans = F.transform(F.col(name), lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base"), probability(c).alias("probability")))
+    return found.select(*kept, F.array_sort(F.filter(spans, lambda s: s["base"] | (s["probability"] >= least))).alias(free_names(found.select(*kept), "spans")[0]))
+
+
 def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least: float = 0.5) -> DataFrame:
     """`keep` columns and spans: array<struct<start,k,end,kind,base,probability>>, sorted, of every row of `docs`.
 
     Offsets are code points, end exclusive. Null and empty texts have no spans; repeated rows and
-    rows without doc_id are kept; columns not kept are ignored.
+    rows without doc_id are kept; columns not kept are ignored. If a kept column is named spans,
+    the last column is named spans_. An empty table gives no rows.
     """
     found = materialize(candidates(docs, keep), "pii-candidates")
-    probability = classifier(found)
-    spans = F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base"), probability(c).alias("probability")))
-    return found.select(*keep, F.array_sort(F.filter(spans, lambda s: s["base"] | (s["probability"] >= least))).alias("spans"))
+    return _decided(found, classifier(found), least)
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -257,14 +266,20 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, let(F.aggregate(spans, empty, merge), built)).otherwise(text)
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """`docs` with personal data in its texts replaced by the kind's name, n_chars to match; null texts stay null."""
-    kept = docs.columns
-    found = find_pii(docs, tuple(kept))
-    done = found.withColumn("text", redacted(F.col("text"), F.col("spans")))
-    if "n_chars" in kept:
-        done = done.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(kept)
+def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """`docs` with personal data in its texts replaced by the kind's name, n_chars to match; null texts stay null.
+
+    Repeated rows and rows without doc_id are redacted like others; other columns stay as they
+    are, whatever their names; an empty table gives no rows. The texts are scanned twice, once
+    for the classifier's counts and once to redact, and nothing is written or shuffled.
+    """
+    found = candidates(packed(docs), ("doc_id", "text", "others"))
+    done = _decided(found, classifier(found), least).withColumn("text", redacted(F.col("text"), F.col("spans")))
+    changed = {}
+    if "n_chars" in docs.columns:
+        before = F.col(f"others.c{[c for c in docs.columns if c not in ('doc_id', 'text')].index('n_chars')}")
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(before)
+    return unpacked(done, docs, **changed)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
