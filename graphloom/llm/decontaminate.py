@@ -12,12 +12,13 @@ scans all documents. Nothing is shuffled.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import documents, map_texts
+from graphloom.llm.common import documents, map_texts, packed, unpacked
 
 SIMILARITY = 0.8
 BLOCK_CHARS = 8_000_000  # items of one automaton; about 40 bytes of memory a character
@@ -132,25 +133,32 @@ def make_matcher(items: list[tuple], similarity: float = SIMILARITY):
     return match
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """Distinct (item_id, text) of the benchmark in blocks of about BLOCK_CHARS characters, one block at a time on the driver."""
+    sized = benchmark.select("item_id", "text").where("text is not null").distinct()
+    total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-total // BLOCK_CHARS) or 1
+    for i in range(blocks):
+        mine = sized.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i) if blocks > 1 else sized
+        yield [(r["item_id"], r["text"]) for r in mine.orderBy("item_id", "text").collect()]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, distance, start_word, end_word, item_words, similarity) of each item met in each document.
 
     One row for an item in a document row: its best place. Null, empty and wordless texts and
-    items match nothing; rows without doc_id and repeated rows are matched like others; other
-    columns are ignored. An item shorter than 5 words must stand unchanged.
+    items match nothing; rows without doc_id and repeated rows are matched like others; repeated
+    items count once; other columns are ignored. An item shorter than 5 words must stand
+    unchanged. Empty tables give no rows.
     """
-    sized = benchmark.select("item_id", "text").where("text is not null").withColumn("n", F.length("text"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total // BLOCK_CHARS) or 1
     parts = []
-    for i in range(blocks):
-        mine = sized.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i) if blocks > 1 else sized
-        items = [(k, (r["item_id"], r["text"])) for k, r in enumerate(mine.distinct().orderBy("item_id", "text").collect())]
+    for own in _blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(own)  # about BLOCK_CHARS characters
 
-        def make(items=items):
-            match = make_matcher([(k, text) for k, (_, text) in items], similarity)
-            ids = {k: item_id for k, (item_id, _) in items}
-            return lambda text: ([{"item_id": ids[k], "distance": d, "start_word": a, "end_word": b, "item_words": m} for k, d, a, b, m in match(text)],)
+        def make(sent=sent):
+            own = sent.value
+            match = make_matcher([(k, text) for k, (_, text) in enumerate(own)], similarity)
+            return lambda text: ([{"item_id": own[k][0], "distance": d, "start_word": a, "end_word": b, "item_words": m} for k, d, a, b, m in match(text)],)
 
         fields = "hits array<struct<item_id:bigint,distance:int,start_word:int,end_word:int,item_words:int>>"
         parts.append(map_texts(docs, make, fields).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*"))
@@ -159,20 +167,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of `docs` in whose text no benchmark item is met; all columns as they are."""
-    sized = benchmark.select("text").where("text is not null").withColumn("n", F.length("text"))
-    blocks = -(-(sized.agg(F.sum("n")).first()[0] or 0) // BLOCK_CHARS) or 1
-    for i in range(blocks):
-        mine = sized.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i) if blocks > 1 else sized
-        items = [(k, r["text"]) for k, r in enumerate(mine.distinct().orderBy("text").collect())]
+    """The rows of `docs` in whose text no benchmark item is met; all columns as they are, whatever their names.
+
+    Null and empty texts, rows without doc_id and repeated rows stay; an empty benchmark drops nothing.
+    """
+    rows = packed(docs)
+    for own in _blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(own)
 
-        def make(items=items):
-            match = make_matcher(items, similarity)
+        def make(sent=sent):
+            match = make_matcher(list(enumerate(text for _, text in sent.value)), similarity)
             return lambda text: (bool(match(text)),)
 
-        kept = docs.columns
-        docs = map_texts(docs, make, "__met boolean", keep=tuple(kept)).where("not __met").select(kept)
-    return docs
+        rows = map_texts(rows, make, "met boolean", keep=("doc_id", "text", "others")).where("not met").drop("met")
+    return unpacked(rows, docs)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
