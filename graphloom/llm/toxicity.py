@@ -3,12 +3,14 @@
 Labels exist for documents only. Token labels come from them: features (a word, its prefixes)
 that occur in toxic documents far more often than chance allows (G-test) mark the toxic tokens
 of toxic documents; all other tokens are clean. A two-state CRF is trained on windows of these
-tokens, then forward-backward over each whole text gives each token's marginal. A logistic
-model of the marginals' sum, maximum and density gives the document's score.
+tokens, then forward-backward over each whole text gives the tokens' marginals. A logistic
+model of the sum, maximum and density of the telling tokens' marginals gives the document's score;
+spans are the runs of tokens, telling or not, whose marginals are one half or more.
 
 The model is fitted on at most SAMPLE rows of each label (CHARS characters in all), drawn by a
 hash of doc_id; every row is scored. Tokens without a weighted feature all have one emission,
-so a run of k of them is one matrix power and only the other tokens cost time.
+so a run of k of them is one matrix power and only the other tokens cost time. Within a run
+marginals fall away from its ends, so they are evaluated from a toxic end inwards while they last.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import crc_bucket, documents, map_texts
+from graphloom.llm.common import crc_bucket, documents, free_names, map_texts, packed, unpacked
 
 SAMPLE = 3000
 CHARS = 40_000_000
 FEATURES = 50_000
 SIDE = 8  # words on either side of a toxic token in a training window
+WINDOWS = 6  # training windows of one sampled text
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -103,7 +106,7 @@ def train(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0)
     for k, (ws, y) in enumerate(zip(words, labels)):
         marked = [any(f in seeds for f in features_of(w)) for w in ws]
         toxic = [i for i, m in enumerate(marked) if m]
-        around = toxic[:6] if toxic else [(k * 7919) % len(ws)] if ws else []
+        around = toxic[:WINDOWS] if toxic else [(k * 7919) % len(ws)] if ws else []
         for i in around:
             lo = max(0, i - SIDE)
             windows.append([[index[f] for f in features_of(w) if f in index] for w in ws[lo : lo + 2 * SIDE]])
@@ -157,7 +160,7 @@ def tagger(model: dict):
 
     class Emissions(dict):
         def __missing__(self, word: str) -> float:
-            score = sum(weights.get(f, 0.0) for f in features_of(word))
+            score = sum(weights.get(f, 0.0) for f in features_of(word.lower()))
             if len(self) > 300_000:
                 self.clear()
             self[word] = score
@@ -175,9 +178,18 @@ def tagger(model: dict):
 
     powers = [run_of(k) for k in range(64)]
 
+    def inner(state, onward, gap: int, towards: int, taken: int = 0) -> int:
+        """How many tokens of a neutral run of `gap` are toxic, counted from its left (1) or right (-1) end; `state` has seen `taken` of them."""
+        for k in range(1, gap + 1):
+            t = k if towards > 0 else gap + 1 - k
+            p = (state @ run_of(t - taken)) * (run_of(gap - t) @ onward)
+            if p[1] < p[0]:
+                return k - 1
+        return gap
+
     def tag(text: str | None):
-        low = (text or "").lower()
-        words = _WORD.findall(low)
+        text = text or ""
+        words = _WORD.findall(text)
         n = len(words)
         scores = np.fromiter(map(emissions.__getitem__, words), np.float64, n)
         at = np.flatnonzero(scores).tolist()
@@ -197,11 +209,13 @@ def tagger(model: dict):
             ahead.append(state)
             before = i
         after, p1 = np.ones(2), [0.0] * len(at)
+        behind = [after] * len(at)
         nxt = n
         for j in range(len(at) - 1, -1, -1):
             gap = nxt - at[j] - 1
             after = (powers[gap] if gap < 64 else run_of(gap)) @ (onto[j + 1] @ after if j + 1 < len(at) else after)
             after = np.abs(after) / np.abs(after).sum()
+            behind[j] = after
             both = ahead[j] * after
             p1[j] = float(both[1] / both.sum())
             nxt = at[j]
@@ -209,9 +223,18 @@ def tagger(model: dict):
         toxic = {i: p for i, p in zip(at, p1) if p >= 0.5}
         spans = []
         if toxic:
-            # lower() may change lengths of rare letters; offsets are of the text as given where it does not
-            source = text if len(low) == len(text) else low
-            for i, m in enumerate(_WORD.finditer(source)):
+            for j, (i, p) in enumerate(zip(at, p1)):
+                if p < 0.5:
+                    continue
+                end = at[j + 1] if j + 1 < len(at) else n
+                onward = onto[j + 1] @ behind[j + 1] if j + 1 < len(at) else np.ones(2)
+                right = inner(ahead[j], onward, end - i - 1, 1)
+                start = at[j - 1] if j else -1
+                opening = (ahead[j - 1], 0) if j else (np.array([1.0, math.exp(bias)]), 1)
+                left = inner(opening[0], onto[j] @ behind[j], i - start - 1, -1, opening[1])
+                for k in (*range(i - left, i), *range(i + 1, i + right + 1)):
+                    toxic.setdefault(k, 0.5)
+            for i, m in enumerate(_WORD.finditer(text)):
                 if i in toxic:
                     if spans and i - 1 in toxic:
                         spans[-1] = (spans[-1][0], m.end(), max(spans[-1][2], toxic[i]))
@@ -258,7 +281,10 @@ def scorer(model: dict):
 def score_documents(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, toxicity (0 to 1) and toxic_spans array<struct<start,end,marginal>> of every row of `docs`.
 
-    Null and empty texts score as texts without any telling word; repeated rows are kept.
+    Offsets are code points of the text as given, end exclusive; marginal is the largest of a
+    span's telling tokens. Null and empty texts score as texts without any telling word; repeated
+    rows are kept; an empty table gives no rows. Where a kept column bears an added column's name,
+    the added one gets an underscore.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
 
@@ -271,7 +297,14 @@ def score_documents(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_
 
         return both
 
-    return map_texts(docs, make, "toxicity double, toxic_spans array<struct<start:int,end:int,marginal:double>>", keep=keep)
+    names = free_names(docs.select(*keep), "toxicity", "toxic_spans")
+    return map_texts(docs, make, f"`{names[0]}` double, `{names[1]}` array<struct<start:int,end:int,marginal:double>>", keep=keep)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of `docs` that a model fitted on their labels scores under `least`; all columns as they are, whatever their names."""
+    rows = score_documents(packed(docs), fit(docs, labels), keep=("doc_id", "text", "others"))
+    return unpacked(rows.where(F.col("toxicity") < least), docs)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
