@@ -2,8 +2,8 @@
 
 encoder(path) gives the ids of the byte-level BPE tokenizer file at `path`. Where the file's
 merges are ranked as its vocabulary is numbered, a text is cut at spaces where its
-pre-tokenizer cuts as well, and each distinct piece is encoded once per task; other files and
-texts with odd runs of white space take the tokenizer as it is.
+pre-tokenizer cuts as well, and each distinct piece is encoded once per task; other files, and
+texts in which an added token of the file stands, take the tokenizer as it is.
 """
 
 from __future__ import annotations
@@ -52,12 +52,15 @@ def encoder(path: str):
     ids = sorted(vocabulary[a + b] for a, b in merges)
     ranked = [vocabulary[a + b] for a, b in merges] == ids and bool(ids) and ids[0] >= 256 and ids[-1] - ids[0] == len(ids) - 1
     pre = spec.get("pre_tokenizer") or {}
-    if not ranked or ranks_first > 257 or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
-        from tokenizers import Tokenizer
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
 
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        return (lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, dtype).tobytes()), dtype
+    def plainly(text: str) -> bytes:
+        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype).tobytes()
+
+    if not ranked or ranks_first > 257 or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        return plainly, dtype
 
     import tiktoken
 
@@ -80,6 +83,8 @@ def encoder(path: str):
     known = Pieces()
 
     def run(text: str) -> bytes:
+        if any(x in text for x in added):
+            return plainly(text)
         if _ODD.search(text):
             return np.array(encode(text), dtype).tobytes()
         first, *rest = text.split(" ")
