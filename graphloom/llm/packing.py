@@ -5,17 +5,19 @@ size by a hash of their row; in each group best-fit decreasing (BFD) fills bins,
 bound from dual-feasible functions says how few bins could do. A group that meets its bound is
 certified and keeps its bins but for the emptiest one, which other groups may fill. A group
 with a gap keeps only its full bins. The documents of all other bins are exchanged: dealt anew
-to fewer groups and packed again, until one group holds the rest or the rounds end.
+to fewer groups and packed again, until one group holds the rest or the rounds end. The result
+names the number of sequences and the bound for all pieces together, so what is left is known.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import documents, map_texts, materialize
+from graphloom.llm.common import documents, free_names, map_texts, materialize
 from graphloom.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -24,23 +26,30 @@ ROUNDS = 4
 
 
 def lower_bound(sizes, capacity: int) -> int:
-    """Fewest bins that can hold integer `sizes`, by dual-feasible functions.
+    """Fewest bins that can hold integer `sizes`, by dual-feasible functions."""
+    import numpy as np
+
+    value, count = np.unique(np.asarray(sizes, np.int64), return_counts=True)
+    return lower_bound_of(dict(zip(value.tolist(), count.tolist())), capacity)
+
+
+def lower_bound_of(histogram: dict[int, int], capacity: int) -> int:
+    """Fewest bins for sizes given as {size: count}.
 
     Takes the best of the continuous bound, u_k (Fekete and Schepers, rounding x*(k+1)/C down
     unless it is whole) and the threshold functions (above C - e: a bin; below e: nothing).
     """
     import numpy as np
 
-    x = np.asarray(sizes, np.int64)
-    if not len(x):
+    if not histogram:
         return 0
-    value, count = np.unique(x, return_counts=True)
+    value, count = (np.array(x, np.int64) for x in zip(*sorted(histogram.items())))
     best = -(-int((value * count).sum()) // capacity)
     for k in range(1, 33):
         scaled = value * (k + 1)
         u = np.where(scaled % capacity == 0, value * k, scaled // capacity * capacity)  # times k * capacity
         best = max(best, -(-int((u * count).sum()) // (k * capacity)))
-    for e in np.unique(value[value * 2 <= capacity]).tolist():
+    for e in value[value * 2 <= capacity].tolist():
         big = int(count[value > capacity - e].sum())
         mid = (value >= e) & (value <= capacity - e)
         best = max(best, big + -(-int((value * count)[mid].sum()) // capacity))
@@ -100,7 +109,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
 
 
 def _pack_group(capacity: int, round_: int, last: bool):
-    """Arrow group function: pieces -> sequence_id and place, or no sequence_id for pieces given away."""
+    """Arrow group function: pieces -> sequence_id and place, or no sequence_id for pieces given away; a group's first row counts its kept bins."""
 
     def run(key, table):
         import numpy as np
@@ -118,21 +127,27 @@ def _pack_group(capacity: int, round_: int, last: bool):
         return pa.table({
             **{c: table.column(c) for c in ("row", "length")},
             "sequence_id": pa.array(np.where(stays[bin_of], ids, -1)), "offset": pa.array(offset_of),
-            "gap": pa.array(np.where(np.arange(len(size)) == 0, len(fill) - lower_bound(sizes, capacity), 0)),
+            "bins": pa.array(np.where(np.arange(len(size)) == 0, stays.sum(), 0)),
         })
 
     return run
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """The rows of `found` (any columns, `length` among them) with sequence_id and offset.
+    """The rows of `found` (any columns, `length` among them) with sequence_id, offset, sequences and lower_bound.
 
-    Lengths are 1 to `capacity`. An empty table gives no rows; repeated rows are packed each on
-    its own. Other columns are kept, but for the names row, sequence_id and offset.
+    sequences and lower_bound are the same in every row: how many sequences there are, and how
+    many the dual-feasible functions prove to be needed for all pieces together; their difference
+    bounds what better packing could save. Lengths are 1 to `capacity`. An empty table gives no
+    rows; repeated rows are packed each on its own. Other columns are kept; where one bears an
+    added column's name, the added one gets an underscore.
     """
-    kept = [c for c in found.columns if c not in ("row", "sequence_id", "offset")]
-    rows = materialize(found.select(*kept, F.monotonically_increasing_id().alias("row")), "pieces")
-    left, done = rows.select("row", "length"), []
+    kept = found.columns
+    names = free_names(found, "sequence_id", "offset", "sequences", "lower_bound")
+    rows = materialize(found.toDF(*(f"c{i}" for i in range(len(kept)))).withColumns({"length": F.col(f"c{kept.index('length')}"), "row": F.monotonically_increasing_id()}), "pieces")
+    of_length = rows.groupBy("length").count().collect()  # at most `capacity` rows
+    bound = lower_bound_of({r["length"]: r["count"] for r in of_length}, capacity)
+    left, done, bins = rows.select("row", "length"), [], 0
     for round_ in range(rounds):
         n = left.count()
         if not n:
@@ -140,16 +155,14 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
         groups = -(-n // (group << round_))
         last = groups == 1 or round_ == rounds - 1
         dealt = left.select("row", "length", F.pmod(F.xxhash64(F.lit(round_), "row"), F.lit(groups)).alias("g"))
-        schema = "row long, length long, sequence_id long, offset long, gap long"
+        schema = "row long, length long, sequence_id long, offset long, bins long"
         packed = materialize(dealt.groupBy("g").applyInArrow(_pack_group(capacity, round_, last), schema), "packed")
+        bins += packed.agg(F.sum("bins")).first()[0]
         done.append(packed.where("sequence_id >= 0"))
         left = packed.where("sequence_id < 0").select("row", "length")
-    if not done:
-        return rows.select(*kept, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
-    placed = done[0]
-    for x in done[1:]:
-        placed = placed.unionByName(x)
-    return rows.join(placed.select("row", "sequence_id", "offset"), "row").select(*kept, "sequence_id", "offset")
+    placed = reduce(DataFrame.unionByName, done) if done else rows.select("row", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = rows.join(placed.select("row", "sequence_id", "offset"), "row")
+    return whole.select(*(f"c{i}" for i in range(len(kept))), "sequence_id", "offset", F.lit(bins).cast("long"), F.lit(bound).cast("long")).toDF(*kept, *names)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
