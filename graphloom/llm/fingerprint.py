@@ -1,10 +1,11 @@
 """Canonical exact digests of documents, in DataFrame functions only.
 
-A text's canonical form is Unicode-normalised (NFKC), in lower case, with runs of white space
-folded to one space and none at the ends. Its fingerprint is two independent 64-bit xxHashes.
-Documents meet in buckets of equal fingerprints; inside a bucket the canonical bytes are
-compared by their least and greatest value, which are equal if and only if all are. A bucket
-that fails is grouped by the canonical text itself.
+A text's canonical form is Unicode-normalised (NFKC), case-folded (and normalised again), with
+runs of white space folded to one space and none at the ends. Its fingerprint is two independent
+64-bit xxHashes. Documents meet in buckets of equal fingerprints; inside a bucket the canonical
+bytes are compared by their least and greatest value, which are equal if and only if all are.
+Both are combined on the map side, so a bucket of many copies costs a row a task. A bucket that
+fails is grouped by the canonical text itself.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ ROWS_A_RANGE = 2000
 
 
 def canonical(text: Column) -> Column:
-    """Canonical form; null as empty. NFKC is asked for only where a text has other than ASCII characters."""
+    """Canonical form; null as empty. Unicode's own folding is asked for only where a text has other than ASCII characters."""
     text = F.coalesce(text, F.lit(""))
-    whole = F.when(text.rlike(r"[^\x00-\x7F]"), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))).otherwise(text)
-    return F.trim(F.regexp_replace(F.lower(whole), r"(?U)\s+", " "))
+    composed = lambda c: F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(text), F.lit(True))
+    whole = F.when(text.rlike(r"[^\x00-\x7F]"), composed(folded)).otherwise(F.lower(text))
+    return F.trim(F.regexp_replace(whole, r"(?U)\s+", " "))
 
 
 def digest(form: Column) -> Column:
@@ -38,11 +41,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     repeated rows count each, rows without doc_id count but give no id.
     """
     rows = docs.select("doc_id", canonical(F.col("text")).alias("form")).withColumn("fingerprint", digest(F.col("form")))
-    sizes = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")), "digest-buckets")
-    several = sizes.where("group_size > 1").select("fingerprint")
-    compared = rows.join(several, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("form").alias("lo"), F.max("form").alias("hi"))
-    mixed = materialize(compared.where("lo <> hi").select("fingerprint"), "digest-mixed")
-    alike = sizes.join(mixed, "fingerprint", "left_anti").select("fingerprint", F.lit(None).cast("string").alias("form"), "group_id", "group_size")
+    compared = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"), F.min("form").alias("lo"), F.max("form").alias("hi"))
+    sizes = materialize(compared.select("fingerprint", "group_id", "group_size", (F.col("lo") != F.col("hi")).alias("mixed")), "digest-buckets")
+    mixed = sizes.where("mixed").select("fingerprint")
+    alike = sizes.where("not mixed").select("fingerprint", F.lit(None).cast("string").alias("form"), "group_id", "group_size")
     if mixed.isEmpty():
         return alike
     apart = rows.join(mixed, "fingerprint", "left_semi").groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
