@@ -1,8 +1,11 @@
 """Corpus operators against brute-force versions on small fixtures."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -15,6 +18,8 @@ from graphloom.llm.common import connected_components
 from graphloom.llm.queries import QUERIES
 from tests.llm.conftest import ODD
 
+REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def test_every_query_takes_odd_and_empty_tables(spark, tables, no_docs, tmp_path):
     for name, f in QUERIES.items():
@@ -82,13 +87,6 @@ def test_simhash_fingerprint_by_definition():
         assert simhash.word_fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes) > 0)
 
 
-def test_keep_one(spark, odd_docs):
-    kept = simhash.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns
-    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.select("doc_id").collect())
-    assert ids == sorted([(False, x) for x in (-3, 1, 3, 5, 6, 7, 8, 10)] + [(True, 0)])  # one of blank texts (3), one of those without id
-
-
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -152,8 +150,9 @@ def test_marginals_are_exact():
 
 
 def test_digest(spark):
-    canon = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).lower()).strip()
-    texts = ["Ab  c", "ab c ", "é", "é", "ﬁx", "fix", "", " \n", "x" * 5000, "ab c"]
+    nfkc = lambda t: unicodedata.normalize("NFKC", t)
+    canon = lambda t: re.sub(r"\s+", " ", nfkc(nfkc(t).casefold())).strip()
+    texts = ["Straße", "STRASSE", "straẞe", "ὈΔΥΣΣΕΎΣ", "ὀδυσσεύσ", "ὀδυσσεύς", "Ab  c", "ab c ", "é", "é", "ﬁx", "fix", "", " \n", "x" * 5000, "ab c"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = docs.select("doc_id", fingerprint.digest(fingerprint.canonical(docs.text)).alias("f")).collect()
     by = {r["doc_id"]: r["f"] for r in rows}
@@ -227,7 +226,6 @@ def test_token_ids():
 
     path = tokens.tokenizer_path()
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
     encode, dtype = tokens.encoder(path)
     rng = random.Random(1)
     bits = [" ", "  ", "\n", "\t", "a", "é", "'s", "12", "!", "...", "word", "<|endoftext|>", "   ", "日本", "\r\n", " "]
@@ -252,21 +250,64 @@ def test_length_table(spark):
     assert tokens.quantile(table, 0.5).first()[0] == sorted(lengths)[199]
 
 
-def test_language_model(spark, monkeypatch):
-    """Tiny vocabulary limits send tokens down every path; counts are exact and P sums to 1."""
-    for name, value in (("HEAD", 3), ("CLASSES", 6), ("TOKENS_A_TASK", 300), ("BLOCK_TOKENS", 200)):
+@pytest.mark.parametrize("head, classes, pinned", [(3, 6, True), (3, 6, False), (2, 2, False), (3, 1000, True)])
+def test_language_model(spark, monkeypatch, head, classes, pinned):
+    """Tiny vocabulary limits send tokens down every path; all columns by brute force, with given and with learnt weights."""
+    for name, value in (("HEAD", head), ("CLASSES", classes), ("TOKENS_A_TASK", 300), ("BLOCK_TOKENS", 200)):
         monkeypatch.setattr(language_model, name, value)
+    learn, seen = language_model.learn_weights, {}
+
+    def weights_of(cells, types):
+        seen["cells"] = dict(cells)
+        seen["weights"] = np.tile([0.5, 0.3, 0.2], (64, 1)) if pinned else learn(cells, types)
+        return seen["weights"]
+
+    monkeypatch.setattr(language_model, "learn_weights", weights_of)
     rng = random.Random(9)
-    texts = [" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 2) for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    texts = [" ".join(rng.choice("abcdefghijklmnopABC") * rng.randint(1, 2) for _ in range(rng.randint(0, 30))) for _ in range(120)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    train = docs.doc_id % 4 != 0
-    rows = {r["doc_id"]: r for r in language_model.score_documents(docs, train).collect()}
-    toks = {i: [*t.split(), ""] for i, t in enumerate(texts)}
+    rows = {r["doc_id"]: r for r in language_model.score_documents(docs, docs.doc_id % 4 != 0).collect()}
+    toks = {i: [*t.lower().split(), ""] for i, t in enumerate(texts)}
     c = Counter(w for i, t in toks.items() if i % 4 for w in t)
+    pairs = Counter(x for i, t in toks.items() if i % 4 for x in zip(["", *t], t))
     n, v = sum(c.values()), len(c)
+    weight = lambda h: seen["weights"][int(np.log2(max(c[h], 1)))]
+
+    def p(h, w):
+        a, b, z = weight(h)
+        return a * pairs[h, w] / max(c[h], 1) + b * c[w] / n + z / (v + 1)
+
     for i, t in toks.items():
         assert rows[i]["n_tokens"] == len(t) and rows[i]["n_known"] == sum(c[w] > 0 for w in t) and rows[i]["train_tokens"] == n
         assert rows[i]["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t))
+        assert rows[i]["score"] == pytest.approx(sum(np.log10(p(h, w)) for h, w in zip(["", *t], t)))
+    for h in c:  # all known words and the unknown one
+        assert sum(p(h, w) for w in c) + weight(h)[2] / (v + 1) == pytest.approx(1.0)
+
+    def bin_of(x):
+        return 1 + min(127, round(-np.log2(x) * 2)) if x > 0 else 0
+
+    held = Counter()
+    for (h, w), k in pairs.items():
+        held[int(np.log2(c[h])) << 16 | bin_of((k - 1) / max(c[h] - 1, 1)) << 8 | bin_of((c[w] - 1) / (n - 1))] += k
+    assert seen["cells"] == dict(held)
+
+
+def test_queries_run_from_a_foreign_folder(tmp_path):
+    """Workers have neither the package nor the repository on their path."""
+    code = f"""
+import sys
+sys.path.insert(0, {REPO!r})
+from graphloom.llm.queries import QUERIES
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+for name, f in QUERIES.items():
+    f(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+print("all", len(QUERIES))
+"""
+    env = {k: x for k, x in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all 10" in done.stdout, done.stderr[-3000:]
 
 
 def test_licenses():
