@@ -1,59 +1,5 @@
-"""Corpus pipeline: stages applied in order, each over all rows that its predecessor kept.
+"""Corpus pipeline: STAGES of (name, function), each over all rows that its predecessor kept, and run()."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again for the next one. All but the last return the columns of documents.
-"""
+from graphloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from graphloom.llm import decontaminate, near_duplicates, packing, pii, toxicity
-from graphloom.llm.common import documents, materialize
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the toxicity model, fitted on the labels of these documents, scores under one half."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_documents(docs, model, keep=tuple(docs.columns)).where("toxicity < 0.5").select(docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of documents that a five-word Jaccard similarity of 0.8 or more links."""
-    return near_duplicates.keep_one(docs)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no benchmark item stands, within its edit budget."""
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, personal data in their texts replaced by its kind."""
-    return pii.redact(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces with their sequences and places."""
-    return packing.pack(packing.pieces(docs))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("pii", redact_pii),
-    ("packing", pack),
-]
-
-#: Models, edit distances and token ids are beyond SQL; tests hold each stage against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
