@@ -126,8 +126,8 @@ query("j17_fusion_join", _LEGS + " SELECT coalesce(a.key, b.key) AS key, a.rank
 query("v06_rerank", "SELECT doc_id AS key, coalesce(CASE WHEN doc_id % 2 = 0 THEN doc_id / 2.0 END, 0.0) AS rerank_score FROM (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30)", "documents")(
     lambda d: s.reranked(d.orderBy(F.desc("n_chars"), "doc_id").limit(30).select(F.col("doc_id").alias("key"), F.lit(0.0).alias("score")), d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("key"), (F.col("doc_id") / 2.0).alias("rerank_score"))).select("key", "rerank_score")
 )
-query("v07_index_rows", "SELECT 'Doc' AS label, doc_id AS node_id, lang AS name, source AS path, substring(text, 1, 200) AS body FROM documents UNION ALL SELECT 'API', p_partkey, p_name, p_type, p_brand FROM part", "documents", "part")(
-    lambda d, p: d.select(F.lit("Doc").alias("label"), F.col("doc_id").alias("node_id"), F.col("lang").alias("name"), F.col("source").alias("path"), F.substring("text", 1, 200).alias("body"))
+query("v07_index_rows", "SELECT 'Doc' AS label, doc_id AS node_id, lang AS name, source AS path, text AS body FROM documents UNION ALL SELECT 'API', p_partkey, p_name, p_type, p_brand FROM part", "documents", "part")(
+    lambda d, p: d.select(F.lit("Doc").alias("label"), F.col("doc_id").alias("node_id"), F.col("lang").alias("name"), F.col("source").alias("path"), F.col("text").alias("body"))
     .unionByName(p.select(F.lit("API").alias("label"), F.col("p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.col("p_type").alias("path"), F.col("p_brand").alias("body")))
 )
 query("v08_embeddable_text", "SELECT p_partkey, concat_ws(' ', nullif(trim(p_name), ''), nullif(trim(p_brand), ''), CASE WHEN p_size > 25 THEN 'large' END) AS body FROM part", "part")(
@@ -184,8 +184,8 @@ query("f25_sets", "SELECT conv_id, len(list_distinct(list(role))) AS kinds, list
 query("f26_map_sort", "SELECT source, string_agg(lang || '=' || n, ',' ORDER BY n DESC, lang) AS kinds FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1", "documents")(
     lambda d: d.groupBy("source", "lang").count().groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("m"), "lang", "count"))), lambda z: F.concat_ws("=", z["lang"], z["count"].cast("string"))), ",").alias("kinds"))
 )
-query("f28_redact", r"""SELECT doc_id, regexp_replace(text, '(?i)(\b(?:password|passwd|secret|token|api[_-]?key|authorization)\b["'']?\s*[:=]\s*["'']?)[^\s"'',;#]+', '\1[REDACTED]', 'g') AS text FROM documents WHERE contains(text, 'token')""", "documents")(
-    lambda d: d.where(F.col("text").contains("token")).select("doc_id", x.redacted(F.col("text")).alias("text"))
+query("f28_redact", r"""SELECT doc_id, regexp_replace(text, '(?i)(\b(?:password|passwd|secret|token|api[_-]?key|authorization)\b["'']?\s*[:=]\s*["'']?)[^\s"'',;#]+', '\1[REDACTED]', 'g') AS text FROM documents""", "documents")(
+    lambda d: d.select("doc_id", x.redacted(F.col("text")).alias("text"))
 )
 
 _KEYS = ("DB_PASSWORD", "HOST", "api-key", "accessKeyId", "STRIPE_TOKEN", "port", "PRIVATE_KEY_PATH")
@@ -232,8 +232,8 @@ query("r16_service_mapping", "SELECT s_suppkey, replace('prod-{service}-eu', '{s
 query("r18_runtime_health", "SELECT user_id, max(value) FILTER (event_type = 'error') AS error_rate, max(value) FILTER (event_type = 'click') AS rps, max(value) FILTER (event_type = 'view') AS p99 FROM events GROUP BY 1", "events")(
     lambda e: e.groupBy("user_id").agg(*(F.max(F.when(F.col("event_type").endswith(k), F.col("value"))).alias(n) for k, n in (("error", "error_rate"), ("click", "rps"), ("view", "p99"))))
 )
-query("r19_seen_ids", "SELECT DISTINCT id FROM (SELECT 'order:' || o_orderkey AS id FROM orders WHERE o_orderkey < 50 UNION ALL SELECT 'customer:' || o_custkey FROM orders WHERE o_orderkey < 50)", "orders")(
-    lambda o: o.where("o_orderkey < 50").select(F.explode(F.array(F.concat(F.lit("order:"), "o_orderkey"), F.concat(F.lit("customer:"), "o_custkey"))).alias("id")).distinct()
+query("r19_seen_ids", "SELECT DISTINCT id FROM (SELECT 'order:' || o_orderkey AS id FROM orders UNION ALL SELECT 'customer:' || o_custkey FROM orders)", "orders")(
+    lambda o: o.select(F.explode(F.array(F.concat(F.lit("order:"), "o_orderkey"), F.concat(F.lit("customer:"), "o_custkey"))).alias("id")).distinct()
 )
 query("p10_glob_allow", "SELECT page_id FROM pages WHERE regexp_matches(url, '^https://.*/en/[^/]*$') OR regexp_matches(url, '^http://.*/fr/.*$')", "pages")(lambda p: p.where(x.glob_any(F.col("url"), ["https://**/en/*", "http://**/fr/**"])).select("page_id"))
 query("p12_push_skip", "SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'new_branch' WHEN value < 5 THEN 'no_commits' WHEN event_type = 'view' THEN 'not_a_branch' END AS skip FROM events", "events")(
@@ -245,14 +245,28 @@ query("p13_capability_rank", "SELECT s_suppkey FROM supplier WHERE s_acctbal > 0
 
 
 def _apis(spark):
-    return spark.createDataFrame([(1, "GET", "/{lang}/{id}", ["example.org"]), (2, "GET", "/en/{id}", []), (3, "POST", "/en/{id}", []), (4, "GET", "/fr/:id", [])], "api_id int, method string, template string, hosts array<string>")
+    rows = [
+        (1, "GET", "/{lang}/{id}", ["Blog.tionsh.example.net"], None), (2, "GET", "/en/{id}", [], "thther-service"),
+        (3, "POST", "/en/{id}", [], None), (4, "GET", "/fr/:id", ["m.ththth.example.net"], "ththhe-api"),
+    ]
+    return spark.createDataFrame(rows, "api_id int, method string, template string, hosts array<string>, service string")
 
 
 QUERIES["j08_resolve_apis"] = lambda spark, sf_dir: rs.resolve_apis(table(spark, sf_dir, "pages").select(F.col("page_id").alias("call_id"), F.lit("get").alias("method"), "url"), _apis(spark))
-ORACLE_SQL["j08_resolve_apis"] = r"""SELECT page_id AS call_id, CASE WHEN n <> 2 THEN NULL WHEN lang = 'en' THEN 2 WHEN lang = 'fr' THEN 4 ELSE 1 END AS api_id, CASE WHEN n = 2 THEN 'MEDIUM' END AS confidence
-  FROM (SELECT page_id, len(list_filter(string_split(p, '/'), lambda s: s <> '')) AS n, lower(list_filter(string_split(p, '/'), lambda s: s <> '')[1]) AS lang FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages))"""
-QUERIES["j09_resolve_services"] = lambda spark, sf_dir: rs.resolve_services(table(spark, sf_dir, "pages").select(F.col("page_id").alias("url_id"), "url"), spark.createDataFrame([(1, "m"), (2, "blog"), (3, "www")], "service_id int, name string"))
-ORACLE_SQL["j09_resolve_services"] = r"""SELECT page_id AS url_id, CASE h WHEN 'm' THEN 1 WHEN 'blog' THEN 2 WHEN 'www' THEN 3 END AS service_id, CASE WHEN h IN ('m', 'blog', 'www') THEN 'HIGH' END AS confidence FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^./:?#]*)', 1) AS h FROM pages)"""
+ORACLE_SQL["j08_resolve_apis"] = r"""WITH a(api_id, re, literal, host, service) AS (VALUES (1, '^/+[^/]+/+[^/]+/*$', 0, 'blog.tionsh.example.net', NULL), (2, '^/+en/+[^/]+/*$', 1, NULL, 'thther'), (4, '^/+fr/+[^/]+/*$', 1, 'm.ththth.example.net', 'ththhe')),
+  p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)) AS h, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+  m AS (SELECT page_id, api_id, literal, count(*) OVER (PARTITION BY page_id) AS n, CASE WHEN host = h THEN 0 WHEN contains(split_part(h, '.', 1), service) OR contains(service, split_part(h, '.', 1)) THEN 2 ELSE 3 END AS r FROM p, a WHERE regexp_matches(path, re)),
+  b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY r, CASE WHEN r = 3 THEN -literal ELSE 0 END, api_id) AS k FROM m)
+  SELECT p.page_id AS call_id, api_id, CASE WHEN r = 0 AND n = 1 THEN 'HIGH' WHEN r < 3 THEN 'MEDIUM' WHEN r = 3 THEN 'LOW' END AS confidence,
+    CASE r WHEN 0 THEN 'exact-host+path' WHEN 2 THEN 'fuzzy-host+path' WHEN 3 THEN 'path-only-no-host-match' ELSE 'no-match' END AS reason FROM p LEFT JOIN b ON b.page_id = p.page_id AND k = 1"""
+_SERVICES = ((1, "m"), (2, "Blog"), (3, "www"), (4, "thther"), (5, "cheap_pills"), (6, "example"))
+QUERIES["j09_resolve_services"] = lambda spark, sf_dir: rs.resolve_services(table(spark, sf_dir, "pages").select(F.col("page_id").alias("url_id"), "url"), spark.createDataFrame(list(_SERVICES), "service_id int, name string"))
+ORACLE_SQL["j09_resolve_services"] = rf"""WITH s(service_id, name) AS (SELECT i, lower(n) FROM (VALUES {", ".join(f"({i}, '{n}')" for i, n in _SERVICES)}) t(i, n)),
+  u AS (SELECT page_id AS url_id, lower(url) AS low, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host FROM pages),
+  m AS (SELECT url_id, service_id, CASE WHEN host = name OR starts_with(host, name || '.') OR starts_with(host, name || '-') THEN 0
+    WHEN length(name) > 2 AND (contains(low, name) OR contains(low, replace(name, '-', '_')) OR contains(low, replace(name, '_', '-'))) THEN 2 END AS r FROM u, s),
+  b AS (SELECT *, row_number() OVER (PARTITION BY url_id ORDER BY r, service_id) AS k FROM m WHERE r IS NOT NULL)
+  SELECT u.url_id, service_id, CASE r WHEN 0 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' END AS confidence FROM u LEFT JOIN b ON b.url_id = u.url_id AND k = 1"""
 QUERIES["j10_service_of_files"] = lambda spark, sf_dir: rs.service_of_files(
     table(spark, sf_dir, "part").select(F.concat_ws("/", F.lit("src"), "p_type", "p_brand", F.col("p_partkey").cast("string")).alias("path")),
     spark.createDataFrame([("root", "src"), ("economy", "src/ECONOMY"), ("deep", "src/ECONOMY/Brand#2"), ("other", "lib/x")], "service string, directory string"),
