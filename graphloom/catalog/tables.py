@@ -95,10 +95,10 @@ def _(events):
     return t.fold_status(done, "repo_url", "id", ["status", "completed_at", "files"])
 
 
-@query("m07_replace_rows", f"SELECT repo_url, id FROM (SELECT repo_url, max(id) AS id FROM {JOBS} WHERE id % 3 = 0 GROUP BY 1) UNION ALL SELECT repo_url, id FROM {JOBS} WHERE id % 3 <> 0 AND id < 500 AND repo_url NOT IN (SELECT repo_url FROM {JOBS} WHERE id % 3 = 0)", "events")
+@query("m07_replace_rows", f"SELECT repo_url, id FROM (SELECT repo_url, max(id) AS id FROM {JOBS} WHERE id % 3 = 0 AND id % 7 = 0 GROUP BY 1) UNION ALL SELECT repo_url, id FROM {JOBS} WHERE id % 3 <> 0 AND repo_url NOT IN (SELECT repo_url FROM {JOBS} WHERE id % 3 = 0 AND id % 7 = 0)", "events")
 def _(events):
     j = jobs(events).select("repo_url", "id")
-    return t.replace_rows(j.where("id % 3 <> 0 and id < 500"), j.where("id % 3 = 0"), "repo_url", "id")
+    return t.replace_rows(j.where("id % 3 <> 0"), j.where("id % 3 = 0 and id % 7 = 0"), "repo_url", "id")
 
 
 @query("m08_delete_retention", f"SELECT id, repo_url FROM {JOBS} WHERE NOT (started_at < TIMESTAMP '2024-01-15' AND status IN ('FAILED', 'COMPLETED'))", "events")

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 MAX_BYTES = 2 * 1024 * 1024
 # Directories, file names and endings that a scan leaves out; languages by ending.
-IGNORED_DIRS = ("node_modules", "dist", "build", "coverage", "vendor", "target", "__pycache__", "venv", ".git")
+IGNORED_DIRS = (
+    "node_modules", "dist", "build", "coverage", ".next", ".nuxt", ".cache", ".turbo", ".vercel", ".output", ".git", ".github", ".gitlab", ".idea", ".vscode",
+    "__pycache__", ".venv", "venv", "env", ".tox", ".pytest_cache", ".mypy_cache", ".ruff_cache", "site-packages", "eggs", ".eggs",
+    "target", ".gradle", ".m2", "out", "classes", "generated", "vendor", "Cargo.lock.d", "tmp", "temp", "logs", ".terraform",
+)
 IGNORED_ENDINGS = (".min.js", ".min.css", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "go.sum", "cargo.lock")
 LANGUAGES = {
     "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go",
