@@ -147,9 +147,10 @@ query("g19_declared_dependencies", _sql(f"SELECT DISTINCT n.name, n.label FROM e
     lambda graph: g.declared_dependencies(graph, SUPPLIER)
 )
 query("g20_api_candidates", _sql("SELECT n.id, n.name, n.path, e.src AS service_id FROM nodes n LEFT JOIN edges e ON e.dst = n.id AND e.type = 'EXPOSES' WHERE n.label = 'API'"))(g.api_candidates)
-query("g21_service_edges", _sql("SELECT p.src AS from_id, c.src AS to_id, 'TOPIC' AS kind, count(*) AS n FROM edges p JOIN edges c ON c.dst = p.dst AND c.type = 'CONSUMES' WHERE p.type = 'PRODUCES' AND p.src <> c.src AND p.src IN ('supplier:1', 'supplier:2', 'supplier:3') GROUP BY 1, 2", topics=True), topics=True)(
-    lambda graph: g.service_edges(Graph(graph.nodes, graph.edges.where("type = 'CONSUMES' or (type = 'PRODUCES' and src in ('supplier:1', 'supplier:2', 'supplier:3'))")))
-)
+query("g21_service_edges", _sql("""SELECT from_id, to_id, kind, count(*) AS n FROM (
+  SELECT p.src AS from_id, c.src AS to_id, 'PRODUCES' AS kind FROM edges p JOIN edges c ON c.dst = p.dst AND c.type = 'CONSUMES' WHERE p.type = 'PRODUCES'
+  UNION ALL SELECT c.src, p.src, 'CONSUMES' FROM edges p JOIN edges c ON c.dst = p.dst AND c.type = 'CONSUMES' WHERE p.type = 'PRODUCES'
+  UNION ALL SELECT a.src, b.src, 'CALLS_API' FROM edges a JOIN edges b ON b.dst = a.dst AND b.type = 'EXPOSES' WHERE a.type = 'CALLS_API') WHERE from_id <> to_id GROUP BY 1, 2, 3""", topics=True), topics=True)(g.service_edges)
 query("j06_api_callers", _sql("SELECT a.src AS from_id, b.src AS to_id, 'CALLS_API' AS kind, count(*) AS n FROM edges a JOIN edges b ON b.dst = a.dst AND b.type = 'EXPOSES' WHERE a.type = 'CALLS_API' AND a.src <> b.src GROUP BY 1, 2"))(
     lambda graph: g.service_edges(Graph(graph.nodes, graph.between("CALLS_API", "EXPOSES")))
 )

@@ -221,13 +221,39 @@ def api_candidates(graph: Graph, limit: int | None = None) -> DataFrame:
     return rows.orderBy("id", "service_id").limit(limit) if limit else rows
 
 
+def _shared(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left(from_id, t), right(to_id, t), rows distinct: (from_id, to_id, n) with n the number of t in common.
+
+    Services of equal topic sets form a class, told by a digest of the set; topics are joined
+    between classes, so a topic that thousands of services share costs a row per pair of classes,
+    and only the result names pairs of services.
+    """
+
+    def classes(rows: DataFrame, who: str, name: str) -> tuple[DataFrame, DataFrame]:
+        own = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("t")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "t")).alias("y"))
+        members = rows.groupBy(who).agg(own.alias(name))
+        return members, members.groupBy(name).agg(F.min(who).alias(who)).join(rows, who).select(name, "t")
+
+    (makers, made), (users, used) = classes(left, "from_id", "p"), classes(right, "to_id", "q")
+    counts = made.join(used, "t").groupBy("p", "q").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(makers, "p").join(users, "q").select("from_id", "to_id", "n")
+
+
 def service_edges(graph: Graph) -> DataFrame:
-    """(from_id, to_id, kind, n): calls of exposed APIs and shared topics between services; self edges dropped."""
+    """(from_id, to_id, kind, n) between services, self edges dropped, n: how often the pattern holds.
+
+    CALLS_API: calls of an exposed API. PRODUCES, and CONSUMES the other way: shared topics.
+    SHARED_TABLE: the owner of a table, and a service whose files define functions that query it.
+    """
     e = lambda kind, a, b: graph.between(kind).select(F.col("src").alias(a), F.col("dst").alias(b))
-    shared = e("PRODUCES", "from_id", "t").join(e("CONSUMES", "to_id", "t"), "t")
-    called = e("CALLS_API", "from_id", "t").join(e("EXPOSES", "to_id", "t"), "t")
-    rows = shared.select("from_id", "to_id", F.lit("TOPIC").alias("kind")).unionByName(called.select("from_id", "to_id", F.lit("CALLS_API").alias("kind")))
-    return rows.where("from_id <> to_id").groupBy("from_id", "to_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    called = e("CALLS_API", "from_id", "t").join(e("EXPOSES", "to_id", "t"), "t").select("from_id", "to_id", F.lit("CALLS_API").alias("kind"))
+    tables = e("OWNS", "from_id", "t").join(graph.of("Table").select(F.col("id").alias("t")), "t", "left_semi").join(e("QUERIES", "f", "t"), "t")
+    tables = tables.join(e("DEFINES", "file", "f"), "f").join(e("CONTAINS", "to_id", "file"), "file").select("from_id", "to_id", F.lit("SHARED_TABLE").alias("kind"))
+    counted = called.unionByName(tables).groupBy("from_id", "to_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    topics = _shared(e("PRODUCES", "from_id", "t").distinct(), e("CONSUMES", "to_id", "t").distinct())
+    produced = topics.select("from_id", "to_id", F.lit("PRODUCES").alias("kind"), "n")
+    consumed = topics.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), F.lit("CONSUMES").alias("kind"), "n")
+    return counted.unionByName(produced).unionByName(consumed).where("from_id <> to_id")
 
 
 def edge_kinds(rows: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Bounded variable-length paths.
 
-Nodes of a path may repeat, an edge may not. Paths grow one hop at a time by an equi-join of
-the frontier with the edges, so each hop shuffles (or broadcasts) only the frontier and the
-edges of the wanted types; restrictions on nodes are applied before a hop, not after.
+Nodes of a path may repeat, an edge may not. The edges of the wanted types are written once,
+keyed by the node they start from; then paths grow one hop at a time by an equi-join of the
+frontier with these edges. Each frontier is written too: h hops are h joins, and as the planner
+knows a frontier's size, a small one is broadcast and the edges stay where they are. Restrictions
+on nodes are applied before a hop, not after.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import MAX_DEPTH, Graph
+from graphloom.scratch import written
 
 
 def keyed_edges(edges: DataFrame, direction: str = "out") -> DataFrame:
@@ -35,6 +38,7 @@ def expand(seeds: DataFrame, edges: DataFrame, max_hops: int, direction: str = "
     if allowed is not None:
         walk = walk.join(allowed.select(F.col("id").alias("b")), "b", "left_semi")
         seeds = seeds.join(allowed.select(F.col("id").alias("seed")), "seed", "left_semi")
+    walk = written(walk, "edges")
     empty = F.expr("cast(array() as array<string>)")
     level = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array("seed").alias("nodes"), empty.alias("edges"), empty.alias("types"), empty.alias("confidences"))
     found, total = [], 0
@@ -50,23 +54,28 @@ def expand(seeds: DataFrame, edges: DataFrame, max_hops: int, direction: str = "
                 F.array_append("f.confidences", F.coalesce("w.confidence", F.lit("HIGH"))).alias("confidences"),
             )
         )
+        level = written(level, "paths")
         found.append(level)
-        if stop_at is not None:
-            total += level.limit(stop_at).count()
-            if total >= stop_at:
-                break
+        n = level.count()
+        total += n
+        if not n or (stop_at is not None and total >= stop_at):
+            break
     return reduce(DataFrame.unionByName, found)
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, max_hops: int, direction: str = "out") -> DataFrame:
-    """Distinct (seed, node) within max_hops; without path bookkeeping, deduplicated at every hop."""
-    walk = keyed_edges(edges, direction).select("a", "b").distinct()
-    level = seeds.select("seed", F.col("seed").alias("node"))
-    found = []
+    """Distinct (seed, node) within 1..max_hops; no path bookkeeping, and nodes once met are not walked from again."""
+    walk = written(keyed_edges(edges, direction).select("a", "b").distinct(), "edges")
+    level, known = seeds.select("seed", F.col("seed").alias("node")).distinct(), []
     for _ in range(max_hops):
         level = level.alias("f").join(walk.alias("w"), F.col("f.node") == F.col("w.a")).select("f.seed", F.col("w.b").alias("node")).distinct()
-        found.append(level)
-    return reduce(DataFrame.unionByName, found).distinct()
+        if known:
+            level = level.join(reduce(DataFrame.unionByName, known), ["seed", "node"], "left_anti")
+        level = written(level, "reached")
+        if level.isEmpty():
+            break
+        known.append(level)
+    return reduce(DataFrame.unionByName, known) if known else level
 
 
 def seeds_named(graph: Graph, name: str, *labels: str) -> DataFrame:
