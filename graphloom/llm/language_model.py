@@ -60,7 +60,7 @@ def _pack(value) -> bytes:
 
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, 5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(value, 5))
 
 
 def _unpack(data: bytes):
@@ -71,10 +71,24 @@ def _unpack(data: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
+def _planes(values) -> tuple[str, bytes]:
+    """An array of numbers, byte plane by byte plane: what is mostly small compresses well."""
+    import numpy as np
+
+    return values.dtype.str, np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _from_planes(planes: tuple[str, bytes]):
+    import numpy as np
+
+    kind = np.dtype(planes[0])
+    return np.ascontiguousarray(np.frombuffer(planes[1], np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def _tokenise(batches):
     """Arrow mapper: (doc_id, text, train) -> blocks (block, ids, tokens).
 
-    tokens packs the sorted distinct keys, each token's place among them (a document's words, then
+    tokens packs the distinct keys, each token's place among them (a document's words, then
     the end), the documents' token counts and the bits of `train`.
     """
     import numpy as np
@@ -86,9 +100,12 @@ def _tokenise(batches):
     block, ids, trains, held, size = 0, [], [], [], 0
 
     def flush():
-        keys, place = np.unique(np.concatenate(held), return_inverse=True)
-        small = place.astype(np.uint16 if len(keys) < 1 << 16 else np.uint32)
-        data = _pack((keys, small, np.array([len(x) for x in held], np.int64), np.packbits(np.array(trains, bool))))
+        keys, place, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        # the end first, then by count, so that places are small numbers
+        order = np.r_[0, 1 + np.argsort(-n[1:], kind="stable")]
+        at = np.empty(len(keys), np.uint32)
+        at[order] = np.arange(len(keys), dtype=np.uint32)
+        data = _pack((keys[order], _planes(at[place]), np.array([len(x) for x in held], np.int64), np.packbits(np.array(trains, bool))))
         return pa.RecordBatch.from_arrays([pa.array([part << 24 | block]), pa.array([ids], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["block", "ids", "tokens"])
 
     for b in batches:
@@ -131,6 +148,7 @@ def word_counts(blocks: DataFrame) -> DataFrame:
         for b in batches:
             for data in b.column(0):
                 keys, place, length, train = _unpack(data.as_py())
+                place = _from_planes(place)
                 n = np.bincount(place[_learnt(length, train)], minlength=len(keys))
                 names.append(keys[n > 0])
                 times.append(n[n > 0])
@@ -214,12 +232,13 @@ def _read(data: bytes, v: Vocabulary):
     import numpy as np
 
     keys, place, length, train = _unpack(data)
+    place = _from_planes(place)
     ranks = v.rank(keys)
     word, key = ranks[place], keys[place]
     starts = np.cumsum(length) - length
     before = np.empty_like(place)
     before[1:] = place[:-1]
-    before[starts] = 0  # the end token's key is the least
+    before[starts] = 0  # the end token's place
     return key, word, keys[before], ranks[before], np.repeat(np.arange(len(length)), length), length, train
 
 
@@ -289,7 +308,7 @@ def _messages(sent, tasks: int):
                 rare_w, rare_v = word == v.size, history == v.size
                 at = np.flatnonzero(~rare_w & ~rare_v & ((word >= v.head) | (history >= v.head)))
                 pair = history[at] * v.size + word[at]
-                deal("frequent", _owner(pair.astype(np.uint64), tasks), lambda x, at=at, pair=pair: (pair[x].astype(np.uint32), doc[at[x]].astype(np.uint16)), np.argsort(pair))
+                deal("frequent", _owner(pair.astype(np.uint64), tasks), lambda x, at=at, pair=pair: (_planes(np.diff(pair[x], prepend=0).astype(np.uint32)), doc[at[x]].astype(np.uint16)), np.argsort(pair))
                 at = np.flatnonzero(rare_w)
                 w = key[at]
                 deal("word", _owner(w, tasks), lambda x, at=at, w=w: (*_runs(w[x]), history[at[x]].astype(np.uint16), past[at[x]][history[at[x]] == v.size], doc[at[x]].astype(np.uint16)), np.argsort(w))
@@ -367,7 +386,7 @@ def _count(sent):
                 found[i].append((p[-1], c2[lo:hi], c1[lo:hi], cv[lo:hi]))
 
         places, parts, learnt = gathered("frequent")
-        pair = joined(parts, 0, np.uint32).astype(np.int64)
+        pair = np.concatenate([np.cumsum(_from_planes(p[0]), dtype=np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
         c2, _ = _ranked(pair, np.zeros(len(pair), np.uint8), learnt)
         add(places, parts, learnt, c2, counts[pair % max(v.size, 1)], counts[pair // max(v.size, 1)])
 
@@ -388,7 +407,7 @@ def _count(sent):
         add(places, parts, learnt, c2, counts[word], cv)
 
         code, times = np.concatenate([c for c, _ in bins]), np.concatenate([n for _, n in bins])
-        kept = [(messages[i][0], _pack([np.concatenate(x) for x in zip(*parts)])) for i, parts in found.items() if parts]
+        kept = [(messages[i][0], _pack([_planes(np.concatenate(x)) for x in zip(*parts)])) for i, parts in found.items() if parts]
         none = [None] * len(code)
         return pa.table({
             "code": pa.array([*code.tolist(), *[None] * len(kept)], pa.int64()), "n": pa.array([*times.tolist(), *[None] * len(kept)], pa.int64()),
@@ -470,7 +489,7 @@ def _other_sums(sent, weights):
 
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1)):
-                d, c2, c1, cv = (x.astype(np.int64) for x in _unpack(data.as_py()))
+                d, c2, c1, cv = (_from_planes(x).astype(np.int64) for x in _unpack(data.as_py()))
                 w = weights.value[_buckets(cv)]
                 p = w[:, 0] * c2 / np.maximum(cv, 1) + w[:, 1] * c1 / max(v.total, 1) + w[:, 2] / (v.types + 1)
                 n = int(d.max()) + 1
