@@ -26,12 +26,15 @@ STRATEGIES = {
 }
 # Words that are never service names.
 STOPWORDS = (
-    "what which who when where how why the a an is are do does did on in of to for and or with depends depend uses using use consumers consumer "
-    "callers caller services service that call calls reverse dep deps database databases schema model migration table tables column columns field fields "
-    "endpoint endpoints api apis route routes swagger openapi graphql rest env environment var variable secret secrets config feature flag flags "
-    "kafka topic topics queue producer consumes produces function functions method methods class classes implement implemented defined calculate "
-    "compute owns owners team teams maintainer history first added introduced happens flow journey user end this have has be"
-).split()
+    "what", "which", "who", "when", "where", "how", "why", "the", "a", "an", "is", "are", "do", "does", "did", "on", "in", "of", "to", "for", "and",
+    "or", "with", "depends", "depend", "uses", "using", "use", "consumers", "consumer", "callers", "caller", "services", "service", "that", "call",
+    "calls", "reverse", "dep", "deps", "database", "databases", "schema", "model", "migration", "table", "tables", "column", "columns", "field",
+    "fields", "endpoint", "endpoints", "api", "apis", "route", "routes", "swagger", "openapi", "graphql", "rest", "env", "environment", "var",
+    "variable", "secret", "secrets", "config", "feature", "flag", "flags", "kafka", "topic", "topics", "queue", "producer", "consumes", "produces",
+    "function", "functions", "method", "methods", "class", "classes", "implement", "implemented", "defined", "calculate", "compute", "owns", "owners",
+    "team", "teams", "maintainer", "history", "first", "added", "introduced", "happens", "flow", "journey", "user", "end", "this", "have", "has",
+    "be",
+)
 # US dollars for 1,000 tokens in and out.
 PRICES = {
     "gpt-4o": (0.0025, 0.01), "gpt-4o-mini": (0.00015, 0.0006), "gpt-4-turbo": (0.01, 0.03), "text-embedding-3-small": (0.00002, 0.0),
@@ -40,6 +43,8 @@ PRICES = {
     "ollama:default": (0.0, 0.0),
 }
 FALLBACK_PRICE = (0.005, 0.015)
+# Fixed value: confidence below which a model may be asked.
+MODEL_THRESHOLD = 0.4
 
 
 def classify(rows: DataFrame, column: str) -> DataFrame:
@@ -68,6 +73,25 @@ def with_strategy(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(table), "class", "left")  # ten rows
 
 
+def with_fallback(rows: DataFrame, threshold: float = MODEL_THRESHOLD, enabled: bool = True) -> DataFrame:
+    """Classified rows with `asks_model`: whether a model should class them, as the rules' confidence is below the threshold.
+
+    Without a model (enabled=False) nothing is asked; a null confidence counts as 0.
+    """
+    return rows.withColumn("asks_model", F.lit(enabled) & (F.coalesce("confidence", F.lit(0.0)) < threshold))
+
+
+def with_model_answers(rows: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """Rows of with_fallback() where answers(key, class, confidence) take the place of the rules' result.
+
+    Only rows that ask take one; answers of unknown classes are left out, and of several for one key the surest counts.
+    """
+    known = answers.where(F.col("class").isin(*STRATEGIES)).groupBy(key).agg(F.max_by(F.struct("class", "confidence"), F.struct("confidence", "class")).alias("answer"))
+    use = F.col("asks_model") & F.col("answer").isNotNull()
+    changed = {"class": F.when(use, F.col("answer.class")).otherwise(F.col("class")), "confidence": F.when(use, F.col("answer.confidence")).otherwise(F.col("confidence"))}
+    return rows.join(known, key, "left").withColumns(changed).drop("answer")
+
+
 def service_names(c: Column) -> Column:
     """Candidate service names of a question, in order, each once."""
     found = F.regexp_extract_all(F.lower(c), F.lit(r"\b([a-z][a-z0-9]+(?:-[a-z0-9]+)*(?:-(?:ui|service|api|gql|cli))?)\b"), F.lit(1))
