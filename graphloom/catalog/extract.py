@@ -238,3 +238,41 @@ def _run(spark):
 
     cases = spark.createDataFrame([("1", "who owns pay-service", "ownership", ["a"]), ("2", "hi", "code", [])], "id string, question string, expectedClass string, goldCitations array<string>")
     return run_cases(cases, spark.createDataFrame([("1", ["a"]), ("2", ["z"])], "id string, citations array<string>"))
+
+#: By language: path, content and facts (kind, value, extra); % stands for the supplier's key.
+LANGUAGE_FILES = (
+    ("a%.kt", "package p\nimport io.ktor.server.App%\nimport java.util.*\nimport a.b as c\nval k = System.getenv(\"K_%\")\n@GetMapping(\"/kt/%\")\n",
+     [("import", "io.ktor.server.App%", ""), ("import", "java.util", ""), ("import", "a.b", ""), ("env", "K_%", ""), ("route", "/kt/%", "Get")]),
+    ("b%.scala", "import akka.http.Server%\nimport cats.{A, B}\n  val s = sys.env(\"S_%\")\n sys.env.getOrElse(\"T\", 1)\n",
+     [("import", "akka.http.Server%", ""), ("import", "cats", ""), ("env", "S_%", ""), ("env", "T", "")]),
+    ("c%.rs", "use std::io::{Read};\npub use crate::m%;\nextern crate serde%;\n#[post(\"/rs/%\")]\nfn f() { Router::new().route(\"/ax/%\", get(h)); reqwest::get(\"http://r%/x\"); env!(\"R_%\"); std::env::var(\"Q\"); }\n",
+     [("import", "std::io", ""), ("import", "crate::m%", ""), ("import", "serde%", ""), ("route", "/rs/%", "post"), ("route", "/ax/%", "get"), ("http", "http://r%/x", "get"), ("env", "R_%", ""), ("env", "Q", "")]),
+    ("d%.rb", "require 'rails%'\nrequire_relative \"../m\"\n  get '/rb/%', to: 'x#y'\nHTTParty.post('http://h%/y')\nNet::HTTP.get(URI('http://n/z'))\nENV['E_%']; ENV.fetch(\"F\", 1)\nproducer.produce('x', topic: 't.%')\n",
+     [("import", "rails%", ""), ("import", "../m", ""), ("route", "/rb/%", "get"), ("http", "http://h%/y", "post"), ("http", "http://n/z", "get"), ("env", "E_%", ""), ("env", "F", ""), ("produce", "t.%", "")]),
+    ("e%.php", "<?php\nuse App\\Http\\C%;\nrequire_once('lib%.php');\nRoute::put('/php/%', f);\n$client->delete('http://p%/q');\ngetenv('P_%'); $_ENV[\"Z\"];\n",
+     [("import", "App\\Http\\C%", ""), ("import", "lib%.php", ""), ("route", "/php/%", "put"), ("http", "http://p%/q", "delete"), ("env", "P_%", ""), ("env", "Z", "")]),
+    ("f%.cs", "using System;\nusing My.Ns%;\nusing (var x = y) {}\n[HttpPatch(\"cs/%\")]\napp.MapGet(\"/min/%\", f);\nnew HttpClient().PostAsync(\"http://c%/w\", b);\nEnvironment.GetEnvironmentVariable(\"C_%\");\n",
+     [("import", "System", ""), ("import", "My.Ns%", ""), ("route", "cs/%", "Patch"), ("route", "/min/%", "Get"), ("http", "http://c%/w", "Post"), ("env", "C_%", "")]),
+    ("g%.h", "#include <stdio.h>\n # include \"m%.h\"\nchar *x = getenv(\"H_%\");\n", [("import", "stdio.h", ""), ("import", "m%.h", ""), ("env", "H_%", "")]),
+    ("h%.cxx", "#include <vector>\nauto y = std::getenv(\"X_%\"); // getenv(name)\n", [("import", "vector", ""), ("env", "X_%", "")]),
+    ("i%.java", "import static a.B.c;\nimport d.*;\n@Path(\"/jax/%\")\n@Value(\"${V_%:x}\")\n", [("import", "a.B.c", ""), ("import", "d", ""), ("route", "/jax/%", ""), ("env", "V_%", "")]),
+    ("j%.pyi", "from a.b import c\nurlpatterns = [\n  path('dj/%/', v),\n]\n", [("import", "a.b", ""), ("route", "dj/%/", "")]),
+)
+
+
+def _of_languages(supplier):
+    """A file a supplier, in turn of each language."""
+    at = (F.col("s_suppkey") % len(LANGUAGE_FILES) + 1).cast("int")
+    pick = lambda i: F.replace(F.element_at(F.array(*(F.lit(f[i]) for f in LANGUAGE_FILES)), at), F.lit("%"), F.col("s_suppkey").cast("string"))
+    return supplier.select(F.lit("r").alias("repo_url"), pick(0).alias("path"), pick(1).alias("content"))
+
+
+def _expected() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [(i, f[0], *fact) for i, f in enumerate(LANGUAGE_FILES) for fact in f[2]]
+    return ", ".join(f"({i}, {', '.join(map(quote, r))})" for i, *r in rows)
+
+
+QUERIES["s03_language_facts"] = lambda spark, sf_dir: x.facts(_of_languages(table(spark, sf_dir, "supplier")), "import", "route", "http", "env", "produce").drop("repo_url")
+ORACLE_SQL["s03_language_facts"] = f"""SELECT replace(path, '%', s_suppkey::VARCHAR) AS path, kind, replace(value, '%', s_suppkey::VARCHAR) AS value, extra
+  FROM supplier JOIN (VALUES {_expected()}) t(turn, path, kind, value, extra) ON s_suppkey % {len(LANGUAGE_FILES)} = turn"""

@@ -21,8 +21,14 @@ PATTERNS = (
     ("import", "python", r"(?m)^\s*from\s+([\w.]+)\s+import\b", 1, 0),
     ("import", "python", r"(?m)^\s*import\s+([\w.]+)", 1, 0),
     ("import", "go", r"(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"\s*$", 1, 0),
-    ("import", "java", r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)(?:\.\*)?\s*;", 1, 0),
-    ("import", "rust", r"(?m)^\s*use\s+([\w:]+)", 1, 0),
+    ("import", "java", r"(?m)^\s*import\s+(?:static\s+)?(\w+(?:\.\w+)*)(?:\.\*)?(?:\s+as\s+\w+)?[ \t]*;?[ \t]*\r?$", 1, 0),
+    ("import", "scala", r"(?m)^\s*import\s+(\w+(?:\.\w+)*)", 1, 0),
+    ("import", "rust", r"(?m)^\s*(?:pub\s+)?use\s+(\w+(?:::\w+)*)", 1, 0),
+    ("import", "rust", r"(?m)^\s*extern\s+crate\s+(\w+)", 1, 0),
+    ("import", "php", r"(?m)^\s*use\s+\\?(\w+(?:\\\w+)*)(?:\s+as\s+\w+)?\s*;", 1, 0),
+    ("import", "php", r"(?m)^\s*(?:require|include)(?:_once)?\b[\s(]*['\"]([^'\"]+)['\"]", 1, 0),
+    ("import", "csharp", r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?(\w+(?:\.\w+)*)\s*;", 1, 0),
+    ("import", "c", r"(?m)^[ \t]*#[ \t]*include[ \t]*[<\"]([^>\"\n]+)[>\"]", 1, 0),
     ("import", "ruby", r"(?m)^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", 1, 0),
     ("route", "typescript", r"\b(?:app|router)\.(get|post|put|patch|delete)\(\s*['\"`]([^'\"`]+)['\"`]", 2, 1),
     ("route", "typescript", r"@(Get|Post|Put|Patch|Delete)\(\s*['\"`]([^'\"`]*)['\"`]\s*\)", 2, 1),
@@ -32,21 +38,42 @@ PATTERNS = (
     ("route", "go", r"\bHandleFunc\(\s*\"(?:(GET|POST|PUT|PATCH|DELETE) )?(/[^\"]*)\"", 2, 1),
     ("route", "java", r"@(Get|Post|Put|Patch|Delete)Mapping\(\s*(?:value\s*=\s*)?\"([^\"]*)\"", 2, 1),
     ("route", "java", r"@RequestMapping\(\s*(?:value\s*=\s*)?\"([^\"]*)\"(?:\s*,\s*method\s*=\s*RequestMethod\.(\w+))?", 1, 2),
+    ("route", "java", r"@Path\(\s*\"([^\"]+)\"", 1, 0),
+    ("route", "python", r"(?m)^\s*(?:re_)?path\(\s*r?['\"]([^'\"]+)['\"]", 1, 0),
+    ("route", "rust", r"#\[(get|post|put|patch|delete)\(\s*\"([^\"]+)\"", 2, 1),
+    ("route", "rust", r"\.route\(\s*\"([^\"]+)\"\s*,\s*(?:web::)?(get|post|put|patch|delete)\b", 1, 2),
+    ("route", "ruby", r"(?m)^\s*(get|post|put|patch|delete)[\s(]+['\"]([^'\"]+)['\"]", 2, 1),
+    ("route", "php", r"\bRoute::(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)['\"]", 2, 1),
+    ("route", "csharp", r"\[Http(Get|Post|Put|Patch|Delete)\(\s*\"([^\"]+)\"", 2, 1),
+    ("route", "csharp", r"\.Map(Get|Post|Put|Patch|Delete)\(\s*\"([^\"]+)\"", 2, 1),
     ("http", "typescript", r"\b(?:axios|http|client)\.(get|post|put|patch|delete)\(\s*['\"`]([^'\"`]+)['\"`]", 2, 1),
     ("http", "typescript", r"\b(fetch)\(\s*['\"`]([^'\"`]+)['\"`]", 2, 1),
     ("http", "python", r"\b(?:requests|httpx|client)\.(get|post|put|patch|delete)\(\s*f?['\"]([^'\"]+)['\"]", 2, 1),
     ("http", "go", r"\bhttp\.(Get|Post|Head)\(\s*\"([^\"]+)\"", 2, 1),
     ("http", "java", r"\.(getForObject|postForObject|getForEntity|postForEntity|exchange)\(\s*\"([^\"]+)\"", 2, 1),
+    ("http", "rust", r"\breqwest::(?:blocking::)?(get)\(\s*\"([^\"]+)\"", 2, 1),
+    ("http", "rust", r"\bClient::new\(\)\s*\.(get|post|put|patch|delete|head)\(\s*\"([^\"]+)\"", 2, 1),
+    ("http", "ruby", r"\b(?:HTTParty|Faraday|RestClient)\.(get|post|put|patch|delete|head)[\s(]+['\"]([^'\"]+)['\"]", 2, 1),
+    ("http", "ruby", r"\bNet::HTTP\.(get|post)\w*\(\s*URI(?:\.parse)?\(\s*['\"]([^'\"]+)['\"]", 2, 1),
+    ("http", "php", r"\$\w*(?:client|http)\w*->(get|post|put|patch|delete|head)\(\s*['\"]([^'\"]+)['\"]", 2, 1),
+    ("http", "csharp", r"\.(Get|Post|Put|Patch|Delete)(?:String|FromJson|AsJson)?Async\(\s*\"([^\"]+)\"", 2, 1),
     ("env", "typescript", r"process\.env(?:\.|\[['\"])([A-Z_][A-Z0-9_]*)", 1, 0),
     ("env", "python", r"os\.(?:environ\.get\(|getenv\(|environ\[)\s*['\"]([A-Z_][A-Z0-9_]*)", 1, 0),
     ("env", "go", r"os\.(?:Getenv|LookupEnv)\(\s*\"([A-Z_][A-Z0-9_]*)", 1, 0),
     ("env", "java", r"System\.getenv\(\s*\"([A-Z_][A-Z0-9_]*)", 1, 0),
-    ("env", "rust", r"env::var\(\s*\"([A-Z_][A-Z0-9_]*)", 1, 0),
+    ("env", "java", r"@Value\(\s*\"\$\{([A-Z_][A-Z0-9_]*)", 1, 0),
+    ("env", "scala", r"\bsys\.env(?:\.get|\.getOrElse)?\(\s*\"([A-Z_][A-Z0-9_]*)", 1, 0),
+    ("env", "rust", r"\benv(?:::var(?:_os)?|!)\(\s*\"([A-Z_][A-Z0-9_]*)", 1, 0),
+    ("env", "ruby", r"\bENV(?:\.fetch\(|\[)\s*['\"]([A-Z_][A-Z0-9_]*)", 1, 0),
+    ("env", "php", r"(?:\bgetenv\(|\$_ENV\[)\s*['\"]([A-Z_][A-Z0-9_]*)", 1, 0),
+    ("env", "csharp", r"\bGetEnvironmentVariable\(\s*\"([A-Z_][A-Z0-9_]*)", 1, 0),
+    ("env", "c", r"\bgetenv\(\s*\"([A-Z_][A-Z0-9_]*)", 1, 0),
     ("produce", "typescript", r"\.send\(\s*\{\s*topic:\s*['\"`]([^'\"`]+)['\"`]", 1, 0),
     ("consume", "typescript", r"\.subscribe\(\s*\{\s*topics?:\s*\[?\s*['\"`]([^'\"`]+)['\"`]", 1, 0),
     ("produce", "python", r"\.(?:send|produce)\(\s*['\"]([^'\"]+)['\"]", 1, 0),
     ("consume", "python", r"\bKafkaConsumer\(\s*['\"]([^'\"]+)['\"]|\.subscribe\(\s*\[\s*['\"]([^'\"]+)['\"]", 1, 2),
     ("consume", "java", r"@KafkaListener\([^)]*topics\s*=\s*\{?\s*\"([^\"]+)\"", 1, 0),
+    ("produce", "ruby", r"\.produce\([^,\n]+,\s*topic:\s*['\"]([^'\"]+)['\"]", 1, 0),
     ("produce", "java", r"kafkaTemplate\.send\(\s*\"([^\"]+)\"", 1, 0),
 )
 # Database of each client package, exact names first.
@@ -67,7 +94,8 @@ DATABASES = {
 
 def facts(files: DataFrame, *kinds: str) -> DataFrame:
     """Pattern facts of the wanted kinds: repo_url, path, kind, value, extra (a method where there is one), distinct."""
-    lang = F.when(language(F.col("path")) == "javascript", "typescript").when(language(F.col("path")) == "kotlin", "java").otherwise(language(F.col("path")))
+    own = language(F.col("path"))
+    lang = F.when(own == "javascript", "typescript").when(own == "kotlin", "java").when(own == "cpp", "c").otherwise(own)
     rows = files.select("repo_url", "path", "content", lang.alias("lang"))
     arrays = []
     for kind, own, pattern, a, b in PATTERNS:

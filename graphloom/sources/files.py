@@ -15,7 +15,7 @@ IGNORED_DIRS = (
 IGNORED_ENDINGS = (".min.js", ".min.css", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "go.sum", "cargo.lock")
 LANGUAGES = {
     "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go",
-    "java": "java", "kt": "kotlin", "rs": "rust", "rb": "ruby", "cs": "csharp", "php": "php", "scala": "scala", "swift": "swift", "sql": "sql",
+    "java": "java", "kt": "kotlin", "kts": "kotlin", "pyi": "python", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "cxx": "cpp", "rs": "rust", "rb": "ruby", "cs": "csharp", "php": "php", "scala": "scala", "swift": "swift", "sql": "sql",
     "prisma": "prisma", "proto": "proto", "graphql": "graphql", "gql": "graphql", "md": "markdown", "yml": "yaml", "yaml": "yaml", "json": "json", "env": "dotenv",
 }
 
