@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import extract as x
+from graphloom.operators import typescript as ts
 from graphloom.plans.projection import table
 from graphloom.sources import files as src
 from graphloom.streaming import events as ev
@@ -276,3 +277,67 @@ def _expected() -> str:
 QUERIES["s03_language_facts"] = lambda spark, sf_dir: x.facts(_of_languages(table(spark, sf_dir, "supplier")), "import", "route", "http", "env", "produce").drop("repo_url")
 ORACLE_SQL["s03_language_facts"] = f"""SELECT replace(path, '%', s_suppkey::VARCHAR) AS path, kind, replace(value, '%', s_suppkey::VARCHAR) AS value, extra
   FROM supplier JOIN (VALUES {_expected()}) t(turn, path, kind, value, extra) ON s_suppkey % {len(LANGUAGE_FILES)} = turn"""
+
+#: A TypeScript file; % stands for the supplier's key, which also shifts its lines.
+TS_FILE = """import express, { Router as R, type Req } from 'express';
+import * as db from "./db%";
+// function no() {}
+export async function load%(id: string, r: Req): Promise<User[]> {
+  if (id && r || x?.y) { for (const a of b) { } }
+  const s = `a ${fmt({k: 1})} } function z() {`;
+  return db.query(/\\/}{/g, id ? 1 : 2);
+}
+export const save = async (u: User) => {
+  load%(u.id);
+  R();
+};
+const v = (1 + 2) * 3;
+interface User { id: string; f(): void }
+type Alias = { a: number }
+  | User;
+export class Store extends Base {
+  private cache = new Map();
+  constructor(private u: User) { super(); fmt(); this.get('x'); }
+  static async get<T>(k: string): Promise<{ a: T }> {
+    try { do { k++ } while (k); } catch (e) { switch (k) { case 1: default: } }
+    return this.put(k);
+  }
+  private put(k?: string) { return save(k ?? ''); }
+}
+class Base {}
+function fmt(o) { return new Store(o); }
+"""
+#: label, prefix of the id, name, class, first and last line, exported, complexity
+TS_SYMBOLS = (
+    ("Function", "fn", "load%", None, 4, 8, True, 6), ("Function", "fn", "save", None, 9, 12, True, 1), ("Function", "fn", "fmt", None, 27, 27, False, 1),
+    ("TypeDef", "type", "User", None, 14, 14, False, None), ("TypeDef", "type", "Alias", None, 15, 16, False, None), ("Class", "cls", "Store", None, 17, 25, True, None),
+    ("Class", "cls", "Base", None, 26, 26, False, None), ("Method", "method", "get", "Store", 20, 23, None, 4), ("Method", "method", "put", "Store", 24, 24, None, 1),
+)
+#: kind, source, target (names of symbols, or what an import names), resolved
+TS_EDGES = (
+    ("CALLS", "load%", "fmt", True), ("CALLS", "load%", "query@./db%", False), ("CALLS", "save", "load%", True), ("CALLS", "save", "R@express", False),
+    ("CALLS", "Store", "fmt", True), ("CALLS", "Store", "get", True), ("CALLS", "get", "put", True), ("CALLS", "put", "save", True), ("EXTENDS", "Store", "Base", True),
+    ("USES_TYPE", "load%", "Req@express", False), ("USES_TYPE", "load%", "User", True), ("USES_TYPE", "save", "User", True), ("USES_TYPE", "Store", "User", True),
+)
+
+
+def _typescript(spark, sf_dir):
+    """A TypeScript file a supplier, its lines shifted by the nation's key."""
+    body = F.concat(F.repeat(F.lit("\n"), F.col("s_nationkey")), F.replace(F.lit(TS_FILE), F.lit("%"), F.col("s_suppkey").cast("string")))
+    return ts.typescript_facts(table(spark, sf_dir, "supplier").select(F.lit("r").alias("repo_url"), F.concat(F.col("s_name"), F.lit(".ts")).alias("path"), body.alias("content")))
+
+
+def _rows(rows) -> str:
+    quote = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"'{v}'"
+    return ", ".join(f"({', '.join(map(quote, r))})" for r in rows)
+
+
+_FILLED = "replace({}, '%', s_suppkey::VARCHAR)"
+_SYMBOLS = f"""SELECT s_suppkey, s_name || '.ts' AS path, kind, {_FILLED.format('sym')} AS name, sym, class, first + s_nationkey AS line_start, last + s_nationkey AS line_end, exported, complexity,
+  'r:' || prefix || ':' || s_name || '.ts:' || {_FILLED.format('sym')} || '@' || (first + s_nationkey) AS id FROM supplier, (VALUES {_rows(TS_SYMBOLS)}) t(kind, prefix, sym, class, first, last, exported, complexity)"""
+QUERIES["x09_typescript_symbols"] = lambda spark, sf_dir: _typescript(spark, sf_dir).where("id is not null").select("path", "kind", "id", "name", "owner", "line_start", "line_end", "is_exported", "complexity")
+ORACLE_SQL["x09_typescript_symbols"] = f"""SELECT a.path, a.kind, a.id, a.name, b.id AS owner, a.line_start, a.line_end, a.exported AS is_exported, a.complexity
+  FROM ({_SYMBOLS}) a LEFT JOIN ({_SYMBOLS}) b ON a.s_suppkey = b.s_suppkey AND a.class = b.sym"""
+QUERIES["x09b_typescript_edges"] = lambda spark, sf_dir: _typescript(spark, sf_dir).where("id is null").select("path", "kind", "owner", "target", "resolved")
+ORACLE_SQL["x09b_typescript_edges"] = f"""SELECT a.path, e.kind, a.id AS owner, coalesce(b.id, replace(e.target, '%', a.s_suppkey::VARCHAR)) AS target, resolved
+  FROM (VALUES {_rows(TS_EDGES)}) e(kind, source, target, resolved) JOIN ({_SYMBOLS}) a ON a.sym = e.source LEFT JOIN ({_SYMBOLS}) b ON b.sym = e.target AND b.s_suppkey = a.s_suppkey"""

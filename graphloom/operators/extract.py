@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import secret_key, snake_plural
+from graphloom.operators.typescript import typescript_facts
 from graphloom.sources.files import language
 
 #: (kind, language, pattern, group of the first value, group of the second value; 0: none, -n: the constant below)
@@ -475,5 +476,7 @@ def extraction(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = import_edges(files)
     kinds = F.when(F.col("type") == "USES", "Database").when(F.col("type") == "READS_CONFIG", "Config").when(F.col("type") == "IMPORTS", "Module").otherwise("Topic")
     targets = edges.select(F.col("dst").alias("id"), kinds.alias("label"), F.regexp_extract("dst", "([^:]*)$", 1).alias("name"))
-    symbols = symbol_nodes(python_symbols(files)).select("id", "label", "name")
+    facts_of = typescript_facts(files)
+    symbols = symbol_nodes(python_symbols(files)).select("id", "label", "name").unionByName(facts_of.where("id is not null").select("id", F.col("kind").alias("label"), "name"))
+    edges = edges.unionByName(facts_of.where("target is not null").select(F.col("owner").alias("src"), F.col("target").alias("dst"), F.col("kind").alias("type")), allowMissingColumns=True)
     return file_nodes.unionByName(targets).unionByName(symbols).dropDuplicates(["id"]), edges.dropDuplicates(["src", "dst", "type"])
