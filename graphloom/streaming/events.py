@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import glob_any
+from graphloom.scratch import folder
 
 PUSH_SCHEMA = "ref string, before string, after string, total_commits_count int, project struct<path_with_namespace:string,web_url:string,default_branch:string>"
 NO_SHA = "0" * 40
@@ -58,10 +59,17 @@ def with_dead_letters(batch: DataFrame, work: Callable[[DataFrame], DataFrame],
 def replay(spark: SparkSession, path: str, schema: str, build: Callable[[DataFrame], DataFrame], name: str, files_per_batch: int = 1, mode: str = "append", only: str = "*") -> DataFrame:
     """Run a stream over the Parquet files of a folder (names like `only`) to its end and return the result table.
 
-    Backpressure is the number of files in a batch; the result is kept in memory, so this serves
-    tests and small backfills.
+    Results and progress go to the shared folder: a batch that is run again overwrites its own
+    output, and in complete mode the last batch holds everything. Backpressure is the number of
+    files in a batch.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", only).parquet(path)
-    query = build(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    at = folder(spark, name)
+    stream = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", only).parquet(path))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/{'all' if mode == 'complete' else number}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/out/none")  # a stream without data has no batch
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/progress").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{at}/out")

@@ -44,3 +44,18 @@ def test_cache_and_guard(spark):
     assert cache.get("b") is None and cache.drop_repo("q") == 1 and not cache.entries
     with pytest.raises(ValueError):
         run_sql(spark, "INSERT INTO t VALUES (1)")
+
+
+def test_replay_of_no_files_and_of_several(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from graphloom.streaming.events import replay
+
+    (tmp_path / "none").mkdir()
+    empty = replay(spark, str(tmp_path / "none"), "k string", lambda s: s, "empty")
+    assert empty.columns == ["k"] and empty.count() == 0
+    for i in range(3):
+        spark.createDataFrame([("a",), (str(i),)], "k string").coalesce(1).write.mode("append").parquet(str(tmp_path / "some"))
+    assert replay(spark, str(tmp_path / "some"), "k string", lambda s: s, "rows", only="*.parquet").count() == 6
+    counts = replay(spark, str(tmp_path / "some"), "k string", lambda s: s.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "counts", mode="complete", only="*.parquet")
+    assert {tuple(r) for r in counts.collect()} == {("a", 3), ("0", 1), ("1", 1), ("2", 1)}
