@@ -341,3 +341,24 @@ ORACLE_SQL["x09_typescript_symbols"] = f"""SELECT a.path, a.kind, a.id, a.name,
 QUERIES["x09b_typescript_edges"] = lambda spark, sf_dir: _typescript(spark, sf_dir).where("id is null").select("path", "kind", "owner", "target", "resolved")
 ORACLE_SQL["x09b_typescript_edges"] = f"""SELECT a.path, e.kind, a.id AS owner, coalesce(b.id, replace(e.target, '%', a.s_suppkey::VARCHAR)) AS target, resolved
   FROM (VALUES {_rows(TS_EDGES)}) e(kind, source, target, resolved) JOIN ({_SYMBOLS}) a ON a.sym = e.source LEFT JOIN ({_SYMBOLS}) b ON b.sym = e.target AND b.s_suppkey = a.s_suppkey"""
+
+#: By ending: a document (% stands for the supplier's key) and its headings (level, text, line).
+DOCUMENTS = (
+    ("rst", "=====\nBig %\n=======\n\n Part \r\n~~~~~~~~~~~~\ntext\n--\n====\n====\n====\nToo long a title\n---\nMixed\n=-=-=-=\n", ((1, "Big %", 2), (2, "Part", 5), (2, "--", 8), (2, "====", 10))),
+    ("adoc", "= Top %\ntext = no\n=== Deep  \n==\n==None\n", ((1, "Top %", 1), (3, "Deep", 3))),
+    ("md", "# One %\n```\n# no\n```\nTwo\n---\n", ((1, "One %", 1), (2, "Two", 5))),
+    ("txt", "# None\n", ()),
+)
+
+
+def _of_documents(supplier):
+    """A document a supplier, in turn of each format."""
+    at = (F.col("s_suppkey") % len(DOCUMENTS) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*(F.lit(d[i]) for d in DOCUMENTS)), at)
+    text = F.replace(pick(1), F.lit("%"), F.col("s_suppkey").cast("string"))
+    return supplier.select(F.lit("r").alias("repo_url"), F.concat("s_name", F.lit("."), pick(0)).alias("path"), text.alias("content"))
+
+
+QUERIES["x22c_document_headings"] = lambda spark, sf_dir: x.document_headings(_of_documents(table(spark, sf_dir, "supplier"))).drop("repo_url")
+ORACLE_SQL["x22c_document_headings"] = f"""SELECT s_name || '.' || ending AS path, level, {_FILLED.format('text')} AS text, line
+  FROM supplier JOIN (VALUES {_rows((i, d[0], *h) for i, d in enumerate(DOCUMENTS) for h in d[2])}) t(turn, ending, level, text, line) ON s_suppkey % {len(DOCUMENTS)} = turn"""

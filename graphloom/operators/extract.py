@@ -176,6 +176,34 @@ def headings(files: DataFrame) -> DataFrame:
     return rows.select("repo_url", "path", level.alias("level"), text.alias("text"), (F.col("n") + 1).alias("line")).where("level is not null")
 
 
+def rst_headings(files: DataFrame) -> DataFrame:
+    """Headings of reStructuredText files: a text over a line of one repeated mark, at least as long; the first has level 1, others 2.
+
+    A line that underlines one heading is no heading itself: of lines in a row that all qualify, every other one counts.
+    """
+    w = Window.partitionBy("repo_url", "path").orderBy("n")
+    text, under = F.regexp_replace("line", r"^\s+|\s+$", ""), F.regexp_replace("next", r"\s+$", "")
+    rows = lines(files).withColumn("next", F.lead("line").over(w)).withColumns({"text": text, "under": under})
+    fits = F.coalesce((F.col("text") != "") & F.col("under").rlike(r"^([=\-`:'\"~^_*+#])\1+$") & (F.length("under") >= F.length("text")), F.lit(False))
+    rows = rows.withColumn("fits", fits).withColumn("rest", F.sum((~F.col("fits")).cast("int")).over(w)).where("fits")
+    in_run = F.row_number().over(Window.partitionBy("repo_url", "path", "rest").orderBy("n"))
+    found = rows.withColumn("place", in_run).where("place % 2 = 1")
+    return found.select("repo_url", "path", F.when(F.row_number().over(w) == 1, 1).otherwise(2).alias("level"), "text", (F.col("n") + 1).alias("line"))
+
+
+def adoc_headings(files: DataFrame) -> DataFrame:
+    """Headings of AsciiDoc files: as many equals signs as the level, then a text."""
+    mark = r"^(=+)\s+(\S.*?)\s*$"
+    rows = lines(files).where(F.col("line").rlike(mark))
+    return rows.select("repo_url", "path", F.length(F.regexp_extract("line", mark, 1)).alias("level"), F.regexp_extract("line", mark, 2).alias("text"), (F.col("n") + 1).alias("line"))
+
+
+def document_headings(files: DataFrame) -> DataFrame:
+    """Headings of all documents by the format that their ending names: repo_url, path, level, text, line."""
+    of = lambda *ends: files.where(F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).isin(*ends))
+    return headings(of("md", "mdx")).unionByName(rst_headings(of("rst"))).unionByName(adoc_headings(of("adoc")))
+
+
 def doc_stats(files: DataFrame) -> DataFrame:
     """Per document: kind by path and name, code blocks, links."""
     name = F.lower("path")
