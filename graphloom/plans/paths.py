@@ -1,10 +1,11 @@
 """Bounded variable-length paths.
 
-Nodes of a path may repeat, an edge may not. The edges of the wanted types are written once,
-keyed by the node they start from; then paths grow one hop at a time by an equi-join of the
-frontier with these edges. Each frontier is written too: h hops are h joins, and as the planner
-knows a frontier's size, a small one is broadcast and the edges stay where they are. Restrictions
-on nodes are applied before a hop, not after.
+Nodes of a path may repeat, an edge may not. Paths grow one hop at a time by an equi-join of the
+frontier with the edges that leave it. Of up to NEAR nodes the ids are broadcast, and only their
+edges are taken from the tables, before any shuffle of these; for a wider frontier the edges of the
+wanted types are written once, keyed by the node they start from. Each frontier is written: h hops
+are h joins, and as the planner knows a frontier's size, a small one is broadcast. Restrictions on
+nodes are applied before a hop, not after.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from graphloom.model import MAX_DEPTH, Graph
 from graphloom.scratch import written
 
+# Nodes of a frontier up to which their ids are broadcast to the edges.
+NEAR = 100_000
+
 
 def keyed_edges(edges: DataFrame, direction: str = "out") -> DataFrame:
     """Edges as (a, b, edge, type, confidence, forward); walking goes from a to b. `both` holds each edge twice under one key."""
@@ -26,6 +30,41 @@ def keyed_edges(edges: DataFrame, direction: str = "out") -> DataFrame:
     return {"out": out, "in": back}.get(direction) or out.unionByName(back.where("a <> b"))
 
 
+def _within(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose `column` is one of few `ids(id)`: a broadcast that the planner moves below unions and duplicates' removal."""
+    return rows.join(F.broadcast(ids), F.col(column) == F.col("id"), "left_semi")
+
+
+class _Steps:
+    """The edges that leave a frontier: (a, b, edge, type, confidence, forward)."""
+
+    def __init__(self, edges: DataFrame, direction: str, allowed: DataFrame | None = None):
+        self.edges, self.direction, self.allowed, self.whole = edges, direction, allowed, None
+
+    def leaving(self, frontier: DataFrame) -> DataFrame:
+        """Edges from the nodes of `frontier(node)`, a written table."""
+        if self.whole is not None:
+            return self.whole
+        ids = written(frontier.select(F.col("node").alias("id")).where("id is not null").distinct(), "nodes")
+        if ids.count() > NEAR:
+            walk = keyed_edges(self.edges, self.direction)
+            if self.allowed is not None:
+                walk = walk.join(self.allowed.select(F.col("id").alias("b")), "b", "left_semi")
+            self.whole = written(walk, "edges")
+            return self.whole
+        sides = {"out": [("src", "out")], "in": [("dst", "in")]}.get(self.direction) or [("src", "out"), ("dst", "in")]
+        walks = [keyed_edges(_within(self.edges, end, ids), way) for end, way in sides]
+        walk = walks[0] if len(walks) == 1 else walks[0].unionByName(walks[1].where("a <> b"))
+        if self.allowed is None:
+            return walk
+        walk = written(walk, "edges")
+        ends = written(walk.select(F.col("b").alias("id")).distinct(), "nodes")
+        known = self.allowed.select("id")
+        if ends.count() > NEAR:
+            return walk.join(known.withColumnRenamed("id", "b"), "b", "left_semi")
+        return _within(walk, "b", written(_within(known.withColumnRenamed("id", "known"), "known", ends).select(F.col("known").alias("id")), "nodes"))
+
+
 def expand(seeds: DataFrame, edges: DataFrame, max_hops: int, direction: str = "out", allowed: DataFrame | None = None, stop_at: int | None = None) -> DataFrame:
     """All paths of 1..max_hops edges from `seeds(seed)`: seed, node, depth, nodes, edges, types, confidences.
 
@@ -34,16 +73,15 @@ def expand(seeds: DataFrame, edges: DataFrame, max_hops: int, direction: str = "
     Null and unknown seeds have no paths.
     """
     max_hops = min(max_hops, MAX_DEPTH)
-    walk = keyed_edges(edges, direction)
+    steps = _Steps(edges, direction, allowed)
     if allowed is not None:
-        walk = walk.join(allowed.select(F.col("id").alias("b")), "b", "left_semi")
         seeds = seeds.join(allowed.select(F.col("id").alias("seed")), "seed", "left_semi")
-    walk = written(walk, "edges")
     empty = F.expr("cast(array() as array<string>)")
     level = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array("seed").alias("nodes"), empty.alias("edges"), empty.alias("types"), empty.alias("confidences"))
+    level = written(level, "paths")
     found, total = [], 0
     for _ in range(max_hops):
-        f, w = level.alias("f"), walk.alias("w")
+        f, w = level.alias("f"), steps.leaving(level).alias("w")
         level = (
             f.join(w, F.col("f.node") == F.col("w.a"))
             .where(~F.array_contains(F.col("f.edges"), F.col("w.edge")))
@@ -65,10 +103,10 @@ def expand(seeds: DataFrame, edges: DataFrame, max_hops: int, direction: str = "
 
 def reachable(seeds: DataFrame, edges: DataFrame, max_hops: int, direction: str = "out") -> DataFrame:
     """Distinct (seed, node) within 1..max_hops; no path bookkeeping, and nodes once met are not walked from again."""
-    walk = written(keyed_edges(edges, direction).select("a", "b").distinct(), "edges")
-    level, known = seeds.select("seed", F.col("seed").alias("node")).distinct(), []
+    steps = _Steps(edges, direction)
+    level, known = written(seeds.select("seed", F.col("seed").alias("node")).distinct(), "reached"), []
     for _ in range(max_hops):
-        level = level.alias("f").join(walk.alias("w"), F.col("f.node") == F.col("w.a")).select("f.seed", F.col("w.b").alias("node")).distinct()
+        level = level.alias("f").join(steps.leaving(level).alias("w"), F.col("f.node") == F.col("w.a")).select("f.seed", F.col("w.b").alias("node")).distinct()
         if known:
             level = level.join(reduce(DataFrame.unionByName, known), ["seed", "node"], "left_anti")
         level = written(level, "reached")
