@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.porter import stem
 from graphloom.model import clamp
+from graphloom.scratch import written
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -37,18 +39,29 @@ def stemmed(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, run(column))
 
 
+def _stem_in(term: Column, phrases: list[list[str]]) -> Column:
+    """Whether a term may have one of the phrases' stems: stemming changes at most the last two characters of what it keeps."""
+    heads = sorted({t[:-2] for p in phrases for t in p})
+    return reduce(Column.__or__, (term.startswith(h) for h in heads))
+
+
 def bm25(docs: DataFrame, key: str, columns: list[str], query: str, k: int = 50, stemming: bool = True) -> DataFrame:
     """The k best rows for any of the query's phrases: key, score.
 
     score = sum of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)); idf is
-    floored at 1e-6. Corpus statistics are one aggregate; only hits of the query's phrases are
-    ever counted per document.
+    floored at 1e-6. Texts are read once: each document's length and hits of the query's phrases
+    are written, then aggregated for the corpus statistics and scored. Only terms that begin like
+    a stem of the query are stemmed.
     """
     phrases = [[stem(t) for t in p] if stemming else p for p in query_phrases(query)]
     rows = docs.select(F.col(key).alias("key"), F.concat(*(terms_of(F.col(c)) for c in columns)).alias("terms"))
-    rows = stemmed(rows, "terms") if stemming else rows
     if not phrases:
         return rows.select("key", F.lit(0.0).alias("score")).limit(0)
+    rows = rows.withColumn("len", F.size("terms"))
+    if stemming:
+        single = all(len(p) == 1 for p in phrases)
+        other = F.filter("terms", lambda t: _stem_in(t, phrases)) if single else F.transform("terms", lambda t: F.when(_stem_in(t, phrases), t).otherwise(""))
+        rows = stemmed(rows.withColumn("terms", other), "terms")
 
     def frequency(p: list[str]) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("terms") - len(p) + 1, F.lit(1)))
@@ -56,7 +69,7 @@ def bm25(docs: DataFrame, key: str, columns: list[str], query: str, k: int = 50,
             return F.size(F.filter("terms", lambda t: t == p[0]))
         return F.size(F.filter(starts, lambda i: F.slice("terms", i, len(p)) == F.array(*(F.lit(t) for t in p))))
 
-    counted = rows.select("key", F.size("terms").alias("len"), *(frequency(p).alias(f"tf{i}") for i, p in enumerate(phrases)))
+    counted = written(rows.select("key", "len", *(frequency(p).alias(f"tf{i}") for i, p in enumerate(phrases))), "counts")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases)))).first()
     if not stats["n"]:
         return rows.select("key", F.lit(0.0).alias("score")).limit(0)
