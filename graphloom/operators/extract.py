@@ -164,12 +164,13 @@ def import_edges(files: DataFrame) -> DataFrame:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    return files.select("repo_url", "path", F.posexplode(F.split("content", "\r?\n", -1)).alias("n", "line"))
+    """Lines of each row of files; `file` tells the rows apart, as paths may occur more than once."""
+    return files.withColumn("file", F.monotonically_increasing_id()).select("repo_url", "path", "file", F.posexplode(F.split("content", "\r?\n", -1)).alias("n", "line"))
 
 
 def headings(files: DataFrame) -> DataFrame:
     """Headings of Markdown files outside code fences, ATX and Setext: level, text, line."""
-    w = Window.partitionBy("repo_url", "path").orderBy("n")
+    w = Window.partitionBy("file").orderBy("n")
     rows = lines(files).withColumns({"fences": F.sum(F.col("line").rlike("^\\s*(?:```|~~~)").cast("int")).over(w), "next": F.lead("line").over(w)}).where("fences % 2 = 0")
     level = F.when(F.col("line").rlike(r"^#{1,6}\s+\S"), F.length(F.regexp_extract("line", "^(#+)", 1))).when((F.trim("line") != "") & ~F.col("line").rlike(r"^[-=#>*\s]") & F.col("next").rlike("^=+\\s*$"), 1).when((F.trim("line") != "") & ~F.col("line").rlike(r"^[-=#>*\s]") & F.col("next").rlike("^-{2,}\\s*$"), 2)
     text = F.trim(F.regexp_replace(F.regexp_replace("line", r"^#{1,6}\s+", ""), r"\s+#+\s*$", ""))
@@ -181,12 +182,12 @@ def rst_headings(files: DataFrame) -> DataFrame:
 
     A line that underlines one heading is no heading itself: of lines in a row that all qualify, every other one counts.
     """
-    w = Window.partitionBy("repo_url", "path").orderBy("n")
+    w = Window.partitionBy("file").orderBy("n")
     text, under = F.regexp_replace("line", r"^\s+|\s+$", ""), F.regexp_replace("next", r"\s+$", "")
     rows = lines(files).withColumn("next", F.lead("line").over(w)).withColumns({"text": text, "under": under})
     fits = F.coalesce((F.col("text") != "") & F.col("under").rlike(r"^([=\-`:'\"~^_*+#])\1+$") & (F.length("under") >= F.length("text")), F.lit(False))
     rows = rows.withColumn("fits", fits).withColumn("rest", F.sum((~F.col("fits")).cast("int")).over(w)).where("fits")
-    in_run = F.row_number().over(Window.partitionBy("repo_url", "path", "rest").orderBy("n"))
+    in_run = F.row_number().over(Window.partitionBy("file", "rest").orderBy("n"))
     found = rows.withColumn("place", in_run).where("place % 2 = 1")
     return found.select("repo_url", "path", F.when(F.row_number().over(w) == 1, 1).otherwise(2).alias("level"), "text", (F.col("n") + 1).alias("line"))
 
@@ -239,7 +240,7 @@ def owner_nodes(rules: DataFrame) -> DataFrame:
 
 def prisma_fields(files: DataFrame) -> DataFrame:
     """Fields of Prisma models: model, field, type, flags; the open model is carried down the lines."""
-    w = Window.partitionBy("repo_url", "path").orderBy("n")
+    w = Window.partitionBy("file").orderBy("n")
     rows = lines(files.where(F.col("path").endswith(".prisma")))
     opened = F.regexp_extract("line", r"^\s*model\s+(\w+)\s*\{", 1)
     block = F.when(opened != "", opened).when(F.col("line").rlike(r"^\s*\}"), "").when(F.col("line").rlike(r"^\s*(?:enum|type|generator|datasource)\b"), "")
