@@ -90,17 +90,15 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     path = path or tokenizer_path()
 
     def make():
-        import numpy as np
-
         encode, dtype = encoder(path)
+        width = dtype.itemsize
 
         def cut(text):
-            ids = np.frombuffer(encode(text or ""), dtype).astype("<u4")
-            ids = np.append(ids, np.uint32(0)).astype("<u4")
-            n = len(ids)
+            ids = memoryview(encode(text or "") + bytes(width))
+            n = len(ids) // width
             first = n % capacity or min(n, capacity)
             edges = [0, *range(first, n + 1, capacity)]
-            return ([{"piece": i, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[a:b].tobytes())} for i, (a, b) in enumerate(zip(edges, edges[1:]))],)
+            return ([{"piece": i, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[a * width : b * width])} for i, (a, b) in enumerate(zip(edges, edges[1:]))],)
 
         return cut
 

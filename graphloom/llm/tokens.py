@@ -1,24 +1,22 @@
 """Exact token ids, and length statistics from an exact histogram.
 
 encoder(path) gives the ids of the byte-level BPE tokenizer file at `path`. Where the file's
-merges are ranked as its vocabulary is numbered, a text is cut at spaces where its
-pre-tokenizer cuts as well, and each distinct piece is encoded once per task; other files, and
-texts in which an added token of the file stands, take the tokenizer as it is.
+merges are ranked as its vocabulary is numbered, whole texts go through `tiktoken` over the same
+vocabulary; other files, texts in which an added token of the file stands, and texts that its
+pre-tokenizer gives up on take the tokenizer as it is.
 """
 
 from __future__ import annotations
 
-import re
+import os
+from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import documents, map_texts, materialize
 
-CACHED = 300_000  # distinct pieces remembered in a task
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A run of white space that a cut before a space could part where the pre-tokenizer does not.
-_ODD = re.compile(r"\s\s\s|\s\s\Z")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -35,10 +33,16 @@ def _byte_of() -> dict[str, int]:
 
 
 def encoder(path: str):
-    """Function text -> bytes of its ids, each a little-endian unsigned 16-bit number (32-bit if ids need it).
+    """Function text -> bytes of its ids, each a little-endian unsigned 32-bit number.
 
-    Returns (function, numpy dtype of the ids).
+    Returns (function, numpy dtype of the ids). A process builds it once for a file as it stands.
     """
+    at = os.stat(path)
+    return _encoder(path, at.st_mtime_ns, at.st_size)
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, *_of_file: int):
     import json
 
     import numpy as np
@@ -47,17 +51,20 @@ def encoder(path: str):
         spec = json.load(f)
     model = spec["model"]
     vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    dtype = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
+    dtype = np.dtype("<u4")
     ranks_first = len(vocabulary) - len(merges)
     ids = sorted(vocabulary[a + b] for a, b in merges)
     ranked = [vocabulary[a + b] for a, b in merges] == ids and bool(ids) and ids[0] >= 256 and ids[-1] - ids[0] == len(ids) - 1
     pre = spec.get("pre_tokenizer") or {}
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
+    @cache
+    def whole():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
 
     def plainly(text: str) -> bytes:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype).tobytes()
+        return np.array(whole().encode(text, add_special_tokens=False).ids, dtype).tobytes()
 
     if not ranked or ranks_first > 257 or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
         return plainly, dtype
@@ -65,30 +72,17 @@ def encoder(path: str):
     import tiktoken
 
     byte_of = _byte_of()
-    added = {x["content"] for x in spec.get("added_tokens", ())}
+    added = [x["content"] for x in spec.get("added_tokens", ())]
     ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in added}
-    encode = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    class Pieces(dict):
-        """Piece that followed a space -> its ids' bytes."""
-
-        def __missing__(self, piece: str) -> bytes:
-            found = np.array(encode(" " + piece), dtype).tobytes()
-            if len(self) >= CACHED:
-                self.clear()
-            if len(piece) <= 64:
-                self[piece] = found
-            return found
-
-    known = Pieces()
+    encode = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def run(text: str) -> bytes:
         if any(x in text for x in added):
             return plainly(text)
-        if _ODD.search(text):
-            return np.array(encode(text), dtype).tobytes()
-        first, *rest = text.split(" ")
-        return np.array(encode(first), dtype).tobytes() + b"".join(map(known.__getitem__, rest))
+        try:
+            return encode(text, disallowed_special=()).astype(dtype, copy=False).tobytes()
+        except ValueError:  # white space of about a million characters on end
+            return plainly(text)
 
     return run, dtype
 
