@@ -8,8 +8,7 @@ pre-tokenizer gives up on take the tokenizer as it is.
 
 from __future__ import annotations
 
-import os
-from functools import cache, lru_cache
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,14 +34,8 @@ def _byte_of() -> dict[str, int]:
 def encoder(path: str):
     """Function text -> bytes of its ids, each a little-endian unsigned 32-bit number.
 
-    Returns (function, numpy dtype of the ids). A process builds it once for a file as it stands.
+    Returns (function, numpy dtype of the ids). The tokenizer itself is loaded for the first text that needs it.
     """
-    at = os.stat(path)
-    return _encoder(path, at.st_mtime_ns, at.st_size)
-
-
-@lru_cache(maxsize=2)
-def _encoder(path: str, *_of_file: int):
     import json
 
     import numpy as np

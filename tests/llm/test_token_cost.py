@@ -1,4 +1,4 @@
-"""Encoding costs and limits: words that never come back, white space without end, one encoder a process."""
+"""Encoding costs and limits: words that never come back, white space without end, what a task loads."""
 
 import random
 import time
@@ -33,20 +33,23 @@ def test_new_words_cost_less_than_by_the_tokenizer():
     assert _spent(encode, texts) < 0.6 * _spent(lambda x: exact.encode(x, add_special_tokens=False), texts)
 
 
-def test_an_encoder_is_built_once_for_a_file(tmp_path):
-    import shutil
+def test_the_tokenizer_is_loaded_for_texts_that_need_it(monkeypatch):
+    import tokenizers
 
-    path = tokens.tokenizer_path()
-    assert tokens.encoder(path)[0] is tokens.encoder(path)[0]
-    other = str(tmp_path / "own.json")
-    shutil.copyfile(path, other)
-    before = tokens.encoder(other)[0]
-    with open(other, encoding="utf-8") as f:
-        text = f.read()
-    with open(other, "w", encoding="utf-8") as f:
-        f.write(text.replace("<|endoftext|>", "<|end|>"))
-    after, dtype = tokens.encoder(other)
-    assert after is not before and np.frombuffer(after("a<|end|>"), dtype).tolist()[-1] == 50256
+    loaded = []
+    real = tokenizers.Tokenizer
+
+    class Noted:
+        @staticmethod
+        def from_file(path):
+            loaded.append(path)
+            return real.from_file(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Noted)
+    encode, dtype = tokens.encoder(tokens.tokenizer_path())
+    encode("plain text")
+    assert not loaded
+    assert [np.frombuffer(encode(x), dtype).tolist()[-1] for x in ("a<|endoftext|>",) * 2] == [50256] * 2 and len(loaded) == 1
 
 
 def test_white_space_without_end(spark):
